@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, language_id, substring_dedup
+from ferrule.llm import bpe, language_id, mixing, pii, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_language_id": language_id.op3_language_id,
+    "op4_pii": pii.op4_pii,
+    "op6_mix_sources": mixing.op6_mix_sources,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_pii": pii.ORACLE_SQL,
+    "op6_mix_sources": mixing.ORACLE_SQL,
     "op7_substring_dedup": substring_dedup.ORACLE_SQL,
 }
