@@ -105,9 +105,9 @@ def _model(texts: dict[str, str]):
     return _models[key]
 
 
-def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", cache_words: int = 400_000) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text. score: by how much the second best costs more, 0 to 1."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", cache_words: int = 400_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) and the carried columns of every row. score: by how much the second best costs more, 0 to 1."""
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *carry)
     names = list(texts)
     weight = np.array([math.log2(max(4, len(t))) for t in texts.values()])
 
@@ -144,9 +144,10 @@ def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id",
             second = total[np.arange(len(words)), order[:, 1]] if len(names) > 1 else np.full(len(words), np.inf)
             lang[full] = np.array(names, object)[order[full, 0]]
             score[full] = 1 - best[full] / np.maximum(second[full], 1e-9)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", *carry, "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    kinds = ", ".join(f"{x} {src.schema[x].dataType.simpleString()}" for x in ("doc_id", *carry))
+    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def fit(docs: DataFrame, docs_per_lang: int = 200, chars_per_doc: int = 2000, chars_per_lang: int = 40_000, max_langs: int = 256, id_col: str = "doc_id") -> dict[str, str]:

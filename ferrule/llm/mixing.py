@@ -44,13 +44,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return w.select("source", "place", "source_size", "total", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, row, size, source_size, target, taken) of every document; row tells repeated ids apart."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    if "__row" in docs.columns:
-        sized = sized.withColumn("row", docs["__row"])
-    else:
-        sized = sized.withColumn("row", F.monotonically_increasing_id())
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, size, source_size, target, taken) of every document; row tells repeated ids apart, row_col if given."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row.alias("row"))
     rows = materialize(sized.withColumn("h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))), "op6-rows")
     ranges = 64
     while ranges * ranges < rows.count():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, embedding_dedup, jaccard_join, language_id, mixing, pii, quality_rules, substring_dedup, warc
+from ferrule.llm import bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_pii": pii.op4_pii,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
