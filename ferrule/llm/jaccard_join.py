@@ -33,8 +33,12 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import common as c
 
+#: Bits of a token within its bucket when frequencies are counted; a clash can only make a token frequent.
+COUNT_BITS = 26
 NARROW = "n_shingles long, node long, other long"
-POSTED = "bucket int, chunk long, frequent boolean, keys binary, nodes binary, sizes binary"
+#: kind 0: postings of rare tokens, 1: of frequent ones, 2: the tokens (keys) of a node (chunk) that has frequent ones,
+#: 3: the signature (keys) of a node (chunk)
+POSTED = "bucket int, chunk long, kind int, keys binary, nodes binary, sizes binary"
 PAIR = "a long, ca long, b long, cb long"
 
 
@@ -74,6 +78,25 @@ def _distinct_sets(body: bytes, width: int, seed: int):
     return [sets[i] for i in keep], nodes[keep]
 
 
+def signature(t: np.ndarray) -> bytes:
+    """A set's size and a bitmap of two to four bits a token, set by the tokens' low bits."""
+    m = 1 << max(6, (2 * len(t) - 1).bit_length())
+    mark = np.zeros(m, bool)
+    mark[(t & np.uint64(m - 1)).astype(np.int64)] = True
+    return len(t).to_bytes(4, "little") + np.packbits(mark).tobytes()
+
+
+def may_link(x: bytes, y: bytes, percent: int) -> bool:
+    """False only if the sets' difference, at least that of their bitmaps, rules a link out."""
+    n = int.from_bytes(x[:4], "little") + int.from_bytes(y[:4], "little")
+    a, b = np.frombuffer(x, np.uint8, offset=4), np.frombuffer(y, np.uint8, offset=4)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    d = int(np.bitwise_count(a ^ b).sum())
+    return 100 * (n - d) >= percent * (n + d)
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_df: int = 12, long_set: int = 200, pivots: int = 2, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link at a similarity of percent / 100 or more."""
     spark = docs.sparkSession
@@ -97,7 +120,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         raise ValueError("two token sets share 64 bits of their class keys; run again with another seed")
 
     bits = c.bucket_bits(chunks.count(), chunk_bytes)
-    slot = max(3, filter_bits - bits)
+    slot = min(COUNT_BITS, max(3, filter_bits - bits))
 
     def counted(batches):
         for b in batches:
@@ -107,7 +130,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                     continue
                 value, n = np.unique(np.concatenate(sets), return_counts=True)
                 p = c.cut_points(value, bits)
-                low = _low32(value, bits)
+                low = _low32(value, bits) >> np.uint32(32 - COUNT_BITS)
                 yield c.batch_of([(k, chunk, c.pack(low[p[k] : p[k + 1]]), c.pack_any(np.minimum(n[p[k] : p[k + 1]], 65535).astype(np.uint16))) for k in range(1 << bits) if p[k + 1] > p[k]], "bucket int, chunk long, keys binary, n binary")
 
     def frequent(table: pa.Table) -> pa.Table:
@@ -118,7 +141,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         hot = value[at][np.add.reduceat(n, at) > rare_df]
         mark = np.zeros(1 << slot, bool)
-        mark[hot >> np.uint32(32 - slot)] = True
+        mark[hot >> np.uint32(COUNT_BITS - slot) if slot < COUNT_BITS else hot << np.uint32(slot - COUNT_BITS)] = True
         return pa.Table.from_batches([c.batch_of([(table.column("bucket")[0].as_py(), np.packbits(mark).tobytes())], "bucket int, bits binary")])
 
     counts = chunks.mapInArrow(counted, "bucket int, chunk long, keys binary, n binary")
@@ -132,28 +155,29 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 sets, nodes = _distinct_sets(body.as_py(), width, seed)
-                found = {False: ([], [], []), True: ([], [], [])}
+                found, rows = {0: ([], [], []), 1: ([], [], [])}, []
 
-                def put(frequent, keys, i, n, found=found, nodes=nodes):
+                def put(kind, keys, i, n, found=found, nodes=nodes):
                     if len(keys):
-                        for out, x in zip(found[frequent], (keys, np.full(len(keys), nodes[i]), np.full(len(keys), n, np.uint32)), strict=True):
+                        for out, x in zip(found[kind], (keys, np.full(len(keys), nodes[i]), np.full(len(keys), n, np.uint32)), strict=True):
                             out.append(x)
 
                 for i, t in enumerate(sets):
                     n = len(t)
+                    rows.append((-1, int(nodes[i]), 3, signature(t), None, None))
                     prefix = n - (-(-percent * n // 100)) + 1
                     hot = is_hot[(t >> np.uint64(64 - bits - slot)).astype(np.int64)]
                     rare = t[~hot][:prefix]
-                    put(False, rare, i, n)
+                    put(0, rare, i, n)
                     often = t[hot][: prefix + 1 - int((~hot).sum())] if prefix + 1 > int((~hot).sum()) else t[:0]
                     if not len(often):
                         continue
+                    rows.append((-1, int(nodes[i]), 2, c.pack(t), None, None))
                     if n < long_set * 100 / percent and len(often) > 1:
                         x, y = np.triu_indices(len(often), 1)
-                        put(True, c.mix64(often[x] + np.uint64(3) * c.mix64(often[y])), i, n)
+                        put(1, c.mix64(often[x] + np.uint64(3) * c.mix64(often[y])), i, n)
                     if n >= long_set * percent / 100:
-                        put(True, c.mix64(often[: max(0, prefix - int((~hot).sum()))]), i, n)
-                rows = []
+                        put(1, c.mix64(often[: max(0, prefix - int((~hot).sum()))]), i, n)
                 for kind, (keys, ids, sizes) in found.items():
                     if not keys:
                         continue
@@ -287,8 +311,34 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
         return run
 
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = int(c.is_in(y, x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    def by_node(kind: int) -> DataFrame:
+        """Written, so that a join with it can split a hot node."""
+        return c.materialize(postings.where(F.col("kind") == kind).groupBy(F.col("chunk").alias("node")).agg(F.first("keys").alias("x")), "op5-held")
+
+    def judged(pairs: DataFrame, held: DataFrame, verdict) -> DataFrame:
+        """Pairs that verdict accepts, given what is held for either node."""
+        one = pairs.join(held.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a")
+        names, schema = pairs.columns, pairs.schema
+        two = one.join(held.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b").select("xa", "xb", *names)
+
+        def run(batches):
+            for batch in batches:
+                ok = [verdict(x.as_py(), y.as_py()) for x, y in zip(batch.column(0), batch.column(1), strict=True)]
+                yield pa.RecordBatch.from_arrays([col.filter(pa.array(ok, pa.bool_())) for col in batch.columns[2:]], names)
+
+        return two.mapInArrow(run, schema)
+
+    def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        return c.materialize(judged(pairs.select("a", "b"), held, lambda x, y: similar(c.unpack(x, "u8"), c.unpack(y, "u8"))), "op5-links")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = c.materialize(pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb")), "op5-pairs")
+        """Links among candidates: signatures rule most others out, the rest are compared by whole sets from the chunks."""
+        pairs = pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
+        pairs = c.materialize(judged(pairs, by_node(3), lambda x, y: may_link(x, y, percent)), "op5-pairs")
         needed = pairs.select(F.col("a").alias("node"), F.col("ca").alias("chunk")).union(pairs.select("b", "cb")).groupBy("node").agg(F.min("chunk").alias("chunk"))
         needed = c.materialize(needed.groupBy("chunk").agg(F.collect_list("node").alias("nodes")), "op5-needed")  # at most a chunk's documents
 
@@ -297,41 +347,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 for body, nodes in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                     sets, own = _distinct_sets(body.as_py(), width, seed)
                     at = dict(zip(own.tolist(), range(len(own)), strict=True))
-                    yield c.batch_of([(x, c.pack(sets[at[x]])) for x in nodes], "node long, tokens binary")
+                    yield c.batch_of([(x, c.pack(sets[at[x]])) for x in nodes], "node long, x binary")
 
-        sets = c.materialize(chunks.join(needed, "chunk").select("body", "nodes").mapInArrow(wanted, "node long, tokens binary"), "op5-tokens")
-        one = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-        two = one.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+        held = chunks.join(needed, "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary")
+        return linked(pairs, c.materialize(held, "op5-tokens"))
 
-        def linked(batches):
-            for batch in batches:
-                ok, last, x = np.zeros(len(batch), bool), None, None
-                for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    if last is None or not last.equals(tb):
-                        last, x = tb, c.unpack(tb.as_py(), "u8")
-                    y = c.unpack(ta.as_py(), "u8")
-                    both = int(c.is_in(y, x).sum())
-                    ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([col.filter(pa.array(ok)) for col in batch.columns[:2]], ["a", "b"])
-
-        return c.materialize(two.mapInArrow(linked, "a long, b long"), "op5-links")
-
-    rare = postings.where("NOT frequent").groupBy("bucket").applyInArrow(rare_pairs, PAIR)
-    often = c.materialize(postings.where("frequent").groupBy("bucket").applyInArrow(lists, listed), "op5-lists")
-    any_often = often.limit(1).count() > 0
+    links = verified(postings.where("kind = 0").groupBy("bucket").applyInArrow(rare_pairs, PAIR))
+    often = c.materialize(postings.where("kind = 1").groupBy("bucket").applyInArrow(lists, listed), "op5-lists")
     members = often.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
-    none = members.limit(0).select("bucket", "node", F.col("node").alias("component"))
-    links, labels = None, None
-    for turn in range(pivots + 1 if any_often else 1):
-        right = none if labels is None else members.join(labels, "node").select("bucket", "node", "component")
-        pairs = often.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(pivot_pairs(turn, turn == pivots), PAIR) if any_often else None
-        if turn == 0:
-            pairs = rare if pairs is None else rare.union(pairs)
-        fresh = verified(pairs)
-        if turn and not fresh.limit(1).count():
-            continue
-        links = fresh if links is None else links.union(fresh)
-        labels = c.components(links)
+    labels = c.components(links)
+    tokens = by_node(2)
+    for turn in range(pivots + 1 if often.limit(1).count() else 0):
+        known = members.join(labels, "node").select("bucket", "node", "component")
+        pairs = often.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(pivot_pairs(turn, turn == pivots), PAIR)
+        fresh = linked(pairs.select("a", "b").distinct(), tokens)
+        if fresh.limit(1).count():
+            links = links.union(fresh)
+            labels = c.components(links)
     # the least id of each component, by class and then by row
     parts = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
