@@ -70,7 +70,7 @@ def base_failed() -> Column:
 
 def rule_order(sample: DataFrame, rules: dict[str, str]) -> list[str]:
     """Rules by rejection per second on the sample, best first; ties in the order given."""
-    held = materialize(features(sample).where(~base_failed()), "op1-sample").repartition(1).cache()
+    held = materialize(features(sample), "op1-sample").where(~base_failed()).repartition(1).cache()
     found = held.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.expr(r)).alias(k) for k, r in rules.items())).first()
     gain = {}
     for k, r in rules.items():
