@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     queued = materialize(frame.withColumn("sent", F.col("ahead") + F.sum("size").over(within)).drop("ahead", "part"), "op6-queues")
     turns = queued.where("size > 0").withColumn("turn", F.explode(F.array(*map(F.lit, range(max_repeats)))))
     turns = turns.withColumn("finish", (F.col("turn") * F.col("source_size") + F.col("sent")).cast("double") / F.col("target"))
-    turns = turns.withColumn("slot", F.floor(F.least("finish", F.lit(4.0)) * ranges).cast("int"))  # the cut lies near 1
+    turns = turns.withColumn("slot", F.floor(F.least("finish", F.lit(1024.0)) * ranges).cast("long"))  # the cut lies near 1
     sums = turns.groupBy("slot").agg(F.sum("size").alias("s"))
     sums = sums.select("slot", F.coalesce(F.sum("s").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     turns = turns.join(sums, "slot").where("ahead < total")
