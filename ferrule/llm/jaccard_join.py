@@ -97,7 +97,44 @@ def may_link(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * (n - d) >= percent * (n + d)
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_df: int = 12, long_set: int = 200, pivots: int = 2, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+class Signatures:
+    """The test of may_link for many pairs at once; signatures of a length stand in one matrix."""
+
+    def __init__(self, nodes: np.ndarray, marks: list[bytes], percent: int):
+        self.percent = percent
+        order = np.argsort(nodes)
+        self.nodes = nodes[order]
+        marks = [marks[i] for i in order.tolist()]
+        self.n = np.array([int.from_bytes(x[:4], "little") for x in marks], np.int64)
+        self.width = np.array([len(x) - 4 for x in marks], np.int64)
+        self.row = np.zeros(len(marks), np.int64)
+        self.mats = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.mats[w] = np.frombuffer(b"".join(marks[i][4:] for i in at.tolist()), np.uint8).reshape(len(at), w)
+
+    def keep(self, pairs: pa.Table) -> pa.Table:
+        a, b = (np.searchsorted(self.nodes, pairs.column(k).to_numpy()) for k in ("a", "b"))
+        ok = np.zeros(len(a), bool)
+        kind = self.width[a] * (1 << 32) + self.width[b]
+        for k in np.unique(kind).tolist():
+            at = np.flatnonzero(kind == k)
+            wa, wb = k >> 32, k & 0xFFFFFFFF
+            step = max(1, (16 << 20) // max(wa, wb))
+            for part in np.split(at, range(step, len(at), step)):
+                x, y = self.mats[wa][self.row[a[part]]], self.mats[wb][self.row[b[part]]]
+                while x.shape[1] != y.shape[1]:
+                    x, y = (x, y) if x.shape[1] > y.shape[1] else (y, x)
+                    h = x.shape[1] // 2
+                    x = x[:, :h] | x[:, h:]
+                d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                n = self.n[a[part]] + self.n[b[part]]
+                ok[part] = 100 * (n - d) >= self.percent * (n + d)
+        return pairs.filter(pa.array(ok))
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_df: int = 12, long_set: int = 200, pivots: int = 3, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; sets link at a similarity of percent / 100 or more."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,7 +196,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
                 def put(kind, keys, i, n, found=found, nodes=nodes):
                     if len(keys):
-                        for out, x in zip(found[kind], (keys, np.full(len(keys), nodes[i]), np.full(len(keys), n, np.uint32)), strict=True):
+                        for out, x in zip(found[kind], (keys, np.full(len(keys), nodes[i]), np.full(len(keys), n, np.uint64)), strict=True):
                             out.append(x)
 
                 for i, t in enumerate(sets):
@@ -173,11 +210,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                     if not len(often):
                         continue
                     rows.append((-1, int(nodes[i]), 2, c.pack(t), None, None))
+                    far = (int((~hot).sum()) * 1000 // n) << 40  # few rare tokens: near the middle of its group
                     if n < long_set * 100 / percent and len(often) > 1:
                         x, y = np.triu_indices(len(often), 1)
-                        put(1, c.mix64(often[x] + np.uint64(3) * c.mix64(often[y])), i, n)
+                        put(1, c.mix64(often[x] + np.uint64(3) * c.mix64(often[y])), i, far | n)
                     if n >= long_set * percent / 100:
-                        put(1, c.mix64(often[: max(0, prefix - int((~hot).sum()))]), i, n)
+                        put(1, c.mix64(often[: max(0, prefix - int((~hot).sum()))]), i, far | n)
                 for kind, (keys, ids, sizes) in found.items():
                     if not keys:
                         continue
@@ -195,7 +233,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         """Lists of two nodes or more: key, node, size, chunk, in order of key and node; a node once a list."""
         key = np.concatenate([c.unpack(x.as_py(), "u4") for x in table.column("keys")])
         node = np.concatenate([c.unpack_any(x.as_py(), "i8") for x in table.column("nodes")])
-        size = np.concatenate([c.unpack_any(x.as_py(), "u4") for x in table.column("sizes")])
+        size = np.concatenate([c.unpack_any(x.as_py(), "u8") for x in table.column("sizes")])
         if "chunks" in table.column_names:
             chunk = np.concatenate([c.unpack_any(x.as_py(), "i8") for x in table.column("chunks")])
         else:
@@ -218,7 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         return key[multi], node[multi], size[multi], chunk[multi]
 
     def near(x, y):
-        x, y = x.astype(np.int64), y.astype(np.int64)
+        x, y = (np.bitwise_and(v, np.uint64((1 << 40) - 1)).astype(np.int64) for v in (x, y))
         return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
 
     def pair_table(found: list[tuple]) -> pa.Table:
@@ -256,9 +294,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
     def pivot_pairs(turn: int, last: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Left: a bucket's lists; right: (bucket, node, component) of its nodes that have one."""
+            """Left: a bucket's lists; right: (bucket, node, component, signature) of its nodes."""
             if not left.num_rows:
                 return c.arrow_schema(PAIR).empty_table()
+            possible = Signatures(right.column("node").to_numpy(), right.column("x").to_pylist(), percent).keep
+
             key, node, size, chunk = gathered(left)
             known = right.column("node").to_numpy()
             order = np.argsort(known)
@@ -268,6 +308,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 at = np.searchsorted(known, node)
                 at[at == len(known)] = 0
                 part = np.where(known[at] == node, label[at], node)
+            order = np.lexsort((node, size >> np.uint64(40), key))  # a list's middle first
+            key, node, size, chunk, part = key[order], node[order], size[order], chunk[order], part[order]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(start, len(key)))
             mixed = np.repeat(np.maximum.reduceat(part, start) != np.minimum.reduceat(part, start), sizes)
@@ -279,17 +321,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 i, j = i[ok], j[ok]
                 found.append((node[i], chunk[i], node[j], chunk[j]))
                 if sum(len(x[0]) for x in found) > 1_000_000:
-                    t = pair_table(found)
+                    t = possible(pair_table(found))
                     found[:] = [tuple(t.column(k).to_numpy() for k in range(4))]
 
             if not last:
                 j = np.flatnonzero(mixed & (rank > turn))
                 compare(j - rank[j] + turn, j)
-                return pair_table(found)
+                return possible(pair_table(found))
             # what is left: each pair of a mixed list once, however many lists hold it, by rows of a bit table
             left_over = np.flatnonzero(mixed & (rank >= turn))
             if not len(left_over):
-                return pair_table(found)
+                return possible(pair_table(found))
             k = key[left_over]
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             own, first, at = np.unique(node[left_over], return_index=True, return_inverse=True)
@@ -307,7 +349,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 x, y = np.nonzero(meet)
                 x += low
                 compare(first[x[x < y]], first[y[x < y]])
-            return pair_table(found)
+            return possible(pair_table(found))
 
         return run
 
@@ -338,7 +380,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among candidates: signatures rule most others out, the rest are compared by whole sets from the chunks."""
         pairs = pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
-        pairs = c.materialize(judged(pairs, by_node(3), lambda x, y: may_link(x, y, percent)), "op5-pairs")
+        pairs = c.materialize(judged(pairs, marks, lambda x, y: may_link(x, y, percent)), "op5-pairs")
         needed = pairs.select(F.col("a").alias("node"), F.col("ca").alias("chunk")).union(pairs.select("b", "cb")).groupBy("node").agg(F.min("chunk").alias("chunk"))
         needed = c.materialize(needed.groupBy("chunk").agg(F.collect_list("node").alias("nodes")), "op5-needed")  # at most a chunk's documents
 
@@ -352,13 +394,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         held = chunks.join(needed, "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary")
         return linked(pairs, c.materialize(held, "op5-tokens"))
 
+    marks = by_node(3)
     links = verified(postings.where("kind = 0").groupBy("bucket").applyInArrow(rare_pairs, PAIR))
     often = c.materialize(postings.where("kind = 1").groupBy("bucket").applyInArrow(lists, listed), "op5-lists")
     members = often.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
     labels = c.components(links)
     tokens = by_node(2)
     for turn in range(pivots + 1 if often.limit(1).count() else 0):
-        known = members.join(labels, "node").select("bucket", "node", "component")
+        known = members.join(marks, "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "x")
         pairs = often.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(pivot_pairs(turn, turn == pivots), PAIR)
         fresh = linked(pairs.select("a", "b").distinct(), tokens)
         if fresh.limit(1).count():
