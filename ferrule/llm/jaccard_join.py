@@ -156,7 +156,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     if classes.where("clash").limit(1).count():
         raise ValueError("two token sets share 64 bits of their class keys; run again with another seed")
 
-    bits = c.bucket_bits(chunks.count(), chunk_bytes)
+    packed = chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
+    bits = c.bucket_bits(3 * packed, 1)  # text is about three times its packed size
     slot = min(COUNT_BITS, max(3, filter_bits - bits))
 
     def counted(batches):
@@ -391,7 +392,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                     at = dict(zip(own.tolist(), range(len(own)), strict=True))
                     yield c.batch_of([(x, c.pack(sets[at[x]])) for x in nodes], "node long, x binary")
 
-        held = chunks.join(needed, "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary")
+        held = chunks.join(needed.hint("merge"), "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary")
         return linked(pairs, c.materialize(held, "op5-tokens"))
 
     marks = by_node(3)
