@@ -43,7 +43,7 @@ def canonical(c: Column, kind: T.DataType, fixed_char: bool = False) -> Column:
     else:
         text = c.cast("string") if isinstance(kind, T.StringType) else F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
         out = _tag("text", F.rtrim(text) if fixed_char else text)
-    return F.coalesce(out, F.lit('["null"]'))
+    return F.when(c.isNull(), '["null"]').otherwise(out)
 
 
 def interval_text(months: Column) -> Column:
