@@ -232,7 +232,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
     def gathered(table: pa.Table):
         """Lists of two nodes or more: key, node, size, chunk, in order of key and node; a node once a list."""
-        key = np.concatenate([c.unpack(x.as_py(), "u4") for x in table.column("keys")])
+        if "part" in table.column_names or "chunks" not in table.column_names:
+            key = np.concatenate([c.unpack(x.as_py(), "u4").astype(np.uint64) + np.uint64(k << 32) for x, k in zip(table.column("keys"), table.column("bucket").to_pylist(), strict=True)])
+        else:
+            key = np.concatenate([c.unpack(x.as_py(), "u8") for x in table.column("keys")])
         node = np.concatenate([c.unpack_any(x.as_py(), "i8") for x in table.column("nodes")])
         size = np.concatenate([c.unpack_any(x.as_py(), "u8") for x in table.column("sizes")])
         if "chunks" in table.column_names:
@@ -291,7 +294,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         if not len(key):
             return c.arrow_schema(listed).empty_table()
         own = np.unique(node).tobytes()
-        return pa.Table.from_batches([c.batch_of([(table.column("bucket")[0].as_py(), c.pack(key), c.pack_any(node), c.pack_any(size), c.pack_any(chunk), own)], listed)])
+        return pa.Table.from_batches([c.batch_of([(table.column("part")[0].as_py(), c.pack(key), c.pack_any(node), c.pack_any(size), c.pack_any(chunk), own)], listed)])
 
     def pivot_pairs(turn: int, last: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -397,7 +400,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
     marks = by_node(3)
     links = verified(postings.where("kind = 0").groupBy("bucket").applyInArrow(rare_pairs, PAIR))
-    often = c.materialize(postings.where("kind = 1").groupBy("bucket").applyInArrow(lists, listed), "op5-lists")
+    # frequent lists are few; fewer, wider parts of the hash range repeat a pair less often
+    frequent_rows = postings.where("kind = 1")
+    size = frequent_rows.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("nodes") + F.octet_length("sizes")), F.lit(0)).alias("n")).first()["n"]
+    wide = min(bits, int(np.ceil(np.log2(max(1, size / (8 << 20))))))
+    often = c.materialize(frequent_rows.withColumn("part", F.shiftright("bucket", bits - wide)).groupBy("part").applyInArrow(lists, listed), "op5-lists")
     members = often.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
     labels = c.components(links)
     tokens = by_node(2)
