@@ -81,7 +81,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """_hash_words over runs of texts of about ``block`` bytes at a time, so that its buffers stay small."""
+    if len(data) <= block:
+        return _hash_words(data, offsets, lower)
+    marks = np.unique(np.searchsorted(offsets, np.arange(0, len(data), block)))
+    marks = np.unique(np.concatenate([[0], marks, [len(offsets) - 1]]))
+    hashes, starts, n = [], [np.zeros(1, np.int64)], 0
+    for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True):
+        h, wo = _hash_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        hashes.append(h)
+        starts.append(wo[1:] + n)
+        n += len(h)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a run of UTF-8 texts, and the first word of each text.
 
     data: the bytes of the texts, one after the other; offsets: where each begins, and the end.

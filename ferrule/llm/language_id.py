@@ -105,7 +105,7 @@ def _model(texts: dict[str, str]):
     return _models[key]
 
 
-def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", cache_words: int = 400_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", cache_words: int = 100_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) and the carried columns of every row. score: by how much the second best costs more, 0 to 1."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *carry)
     names = list(texts)
@@ -117,6 +117,7 @@ def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id",
             for k in range(0, len(b), 512):
                 part = b.slice(k, 512)
                 yield one(part, automata, known)
+        _models.clear()  # the process may serve other stages
 
     def one(part, automata, known):
         words = [_WORDS.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
