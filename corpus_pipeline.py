@@ -45,7 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     ranks, pattern = public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN
-    return bpe.bpe_decode(bpe.bpe_encode(docs, ranks, pattern), ranks, pattern).select("doc_id", "source", "lang", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.bpe_encode(docs, ranks, pattern, check=True)
+    return done.select("doc_id", "source", "lang", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded_sha256")
 
 
 STAGES = [
