@@ -18,6 +18,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -109,26 +110,45 @@ def bpe_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """The documents with their token ids as a column of array<int>; a column of that name is replaced."""
+def _lists(rows: list[list[int]]) -> pa.Array:
+    flat = np.fromiter((i for x in rows for i in x), np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+
+def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", check: bool = False, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """The documents with their token ids as a column of array<int>; a column of that name is replaced.
+    With check also decoded_sha256, the digest of what the ids decode to. A few documents are held at a time."""
+    src = docs.drop(out_col, *(["decoded_sha256"] if check else []))
+    names, at = src.columns, src.columns.index(text_col)
+    kind = src.schema.add(out_col, "array<int>")
+    kind = kind.add("decoded_sha256", "string") if check else kind
+
+    def run(batches):
         enc = encoding(ranks, pattern)
-        return pa.array([encode(enc, t.as_py() or "", leaf_chars) for t in texts], pa.list_(pa.int32()))
+        for b in batches:
+            for k in range(0, len(b), 64):
+                part = b.slice(k, 64)
+                ids = [encode(enc, t.as_py() or "", leaf_chars) for t in part.column(at)]
+                back = [pa.array([hashlib.sha256(decode(enc, x)).hexdigest() for x in ids], pa.string())] if check else []
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *back], [*names, out_col, *(["decoded_sha256"] if check else [])])
 
-    return docs.withColumn(out_col, ids(F.col(text_col)))
+    return src.mapInArrow(run, kind)
 
 
 def bpe_decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """The documents with the bytes of their token ids as a binary column; null ids give empty bytes."""
+    src = docs.drop(out_col)
+    names, at = src.columns, src.columns.index(ids_col)
 
-    @F.arrow_udf("binary")
-    def back(ids: pa.Array) -> pa.Array:
+    def run(batches):
         enc = encoding(ranks, pattern)
-        return pa.array([decode(enc, x.as_py() or []) for x in ids], pa.binary())
+        for b in batches:
+            for k in range(0, len(b), 64):
+                part = b.slice(k, 64)
+                back = pa.array([decode(enc, x.as_py() or []) for x in part.column(at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, back], [*names, out_col])
 
-    return docs.withColumn(out_col, back(F.col(ids_col)))
+    return src.mapInArrow(run, src.schema.add(out_col, "binary"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
