@@ -23,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 LEAF_CHARS = 1 << 14
@@ -120,8 +121,8 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text"
     With check also decoded_sha256, the digest of what the ids decode to. A few documents are held at a time."""
     src = docs.drop(out_col, *(["decoded_sha256"] if check else []))
     names, at = src.columns, src.columns.index(text_col)
-    kind = src.schema.add(out_col, "array<int>")
-    kind = kind.add("decoded_sha256", "string") if check else kind
+    extra = [T.StructField("decoded_sha256", T.StringType())] if check else []
+    kind = T.StructType([*src.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), *extra])
 
     def run(batches):
         enc = encoding(ranks, pattern)
@@ -148,7 +149,7 @@ def bpe_decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "token_
                 back = pa.array([decode(enc, x.as_py() or []) for x in part.column(at)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, back], [*names, out_col])
 
-    return src.mapInArrow(run, src.schema.add(out_col, "binary"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,13 @@ def test_pii_scores_and_redaction(spark):
     kinds = Counter(s["kind"] for s in found.first()["spans"])
     assert kinds["iban"] == 1 and kinds["email"] == 1 and kinds["ssn"] >= 1
     assert "[IBAN]" in pii.redact(found).first()["text"]
+
+
+def test_bpe_columns_round_trip(spark):
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "héllo wörld\n", [9]), (2, None, None)], "doc_id long, text string, token_ids array<int>")
+    got = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, pattern, check=True), ranks, pattern).orderBy("doc_id").collect()
+    assert [bytes(r["decoded"]) for r in got] == ["héllo wörld\n".encode(), b""]
+    assert got[1]["token_ids"] == [] and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
