@@ -109,6 +109,20 @@ def fingerprint(spark, d):
     return compare.fingerprint(*_customer(spark, d))
 
 
+@query(f"""WITH {ORDERS_SQL} SELECT 'orders' AS table_name, (SELECT count(*) FROM s) AS source_rows, (SELECT count(*) FROM t) AS target_rows, NOT EXISTS ((SELECT * FROM s EXCEPT SELECT * FROM t) UNION ALL (SELECT * FROM t EXCEPT SELECT * FROM s)) AS passed
+UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), true UNION ALL SELECT 'region', (SELECT count(*) FROM region), (SELECT count(*) FROM region WHERE r_regionkey <> 0), false""")
+def validate_summary(spark, d):
+    """Counts and content of each pair of tables; the fingerprint needs neither order nor a limit on rows."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    out = None
+    for name, source, target in (("orders", orders_source(spark, d), orders_target(spark, d)), ("nation", n, n), ("region", r, r.where("r_regionkey <> 0"))):
+        s, t = (compare.fingerprint(x, compare.record(x)).select(F.col("row_count").alias(f"{side}_rows"), F.col("hash_sum").alias(f"{side}_hash")) for side, x in (("source", source), ("target", target)))
+        same = F.col("source_rows").eqNullSafe(F.col("target_rows")) & F.col("source_hash").eqNullSafe(F.col("target_hash"))
+        one = s.join(t, F.lit(True)).select(F.lit(name).alias("table_name"), "source_rows", "target_rows", same.alias("passed"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 @query("""WITH t AS (SELECT * FROM nation WHERE n_nationkey % 7 <> 0 UNION ALL SELECT * FROM nation WHERE n_nationkey = 3),
 b AS (SELECT n_nationkey, n_name, n_regionkey, 1 AS s, 0 AS t FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey, 0, 1 FROM t)
 SELECT '[["number","' || n_nationkey || '"],["text","' || n_name || '"],["number","' || n_regionkey || '"]]' AS record, sum(s)::BIGINT AS source_rows, sum(t)::BIGINT AS target_rows FROM b GROUP BY n_nationkey, n_name, n_regionkey HAVING sum(s) <> sum(t)""")
@@ -134,15 +148,20 @@ def _small(spark, d, name):
     return table(spark, d, name)
 
 
-@query("""SELECT * FROM (SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS n_rows, 'full' AS hash_mode UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'full' UNION ALL SELECT 'part', (SELECT count(*) FROM part), 'full'
-UNION ALL SELECT 'supplier', (SELECT count(*) FROM supplier), 'full' UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 'count_only')""")
+#: Fixed value: rows of a table beyond which only counts are compared.
+MAX_HASHED_ROWS = 100_000
+_MODE_TABLES = ("orders", "customer", "part", "supplier", "lineitem")
+_MODES_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CASE WHEN {'true' if t in KEYS else 'false'} AND count(*) <= {MAX_HASHED_ROWS} THEN 'full' ELSE 'count_only' END AS hash_mode FROM {t}" for t in _MODE_TABLES)
+
+
+@query(_MODES_SQL)
 def validate_modes(spark, d):
     """full where a key exists and the table is small enough, else counts only."""
     out = None
-    for name in ("orders", "customer", "part", "supplier", "lineitem"):
+    for name in _MODE_TABLES:
         df = table(spark, d, name)
         kind, _ = compare.choose_key([(c, False) for c in df.columns], KEYS.get(name, []), [])
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.when(F.lit(kind != "none") & (F.col("n_rows") <= 1_000_000), "full").otherwise("count_only").alias("hash_mode"))
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.when(F.lit(kind != "none") & (F.col("n_rows") <= MAX_HASHED_ROWS), "full").otherwise("count_only").alias("hash_mode"))
         out = one if out is None else out.unionAll(one)
     return out
 
@@ -247,6 +266,18 @@ def array_columns(spark, d):
     return _catalog(spark, d)["columns"].where("type LIKE 'array%'").select("table_name", "column_name")
 
 
+@query(f"WITH {_TABLE_SQL} SELECT c.table_name, string_agg(c.column_name, ',' ORDER BY c.column_name) AS text_columns, count(*) AS n_columns FROM information_schema.columns c SEMI JOIN tb USING (table_name) WHERE c.data_type = 'VARCHAR' GROUP BY c.table_name")
+def lob_columns(spark, d):
+    """Columns of unbounded text, listed by table."""
+    text = _catalog(spark, d)["columns"].where("type = 'string'")
+    return text.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("text_columns"), F.count(F.lit(1)).alias("n_columns"))
+
+
+@query(f"WITH {_TABLE_SQL} SELECT c.table_name, count(*) AS n_columns FROM information_schema.columns c SEMI JOIN tb USING (table_name) GROUP BY c.table_name")
+def column_counts(spark, d):
+    return _catalog(spark, d)["columns"].groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
 _ROWS_SQL = " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows" for t in TABLES)
 
 
@@ -263,6 +294,12 @@ def top_tables(spark, d):
     return _row_counts(spark, d).orderBy(F.desc("n_rows"), "table_name").limit(10)
 
 
+@query(f"SELECT table_name FROM ({_ROWS_SQL}) WHERE n_rows = 0 UNION ALL SELECT 'region_left' WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey < 0)")
+def empty_tables(spark, d):
+    left = table(spark, d, "region").where("r_regionkey < 0").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("region_left").alias("table_name"), "n_rows")
+    return _row_counts(spark, d).unionAll(left).where("n_rows = 0").select("table_name")
+
+
 @query(f"SELECT table_name, CASE WHEN n_rows > 50000000 THEN 'high' WHEN n_rows > 10000000 THEN 'medium' ELSE 'low' END AS pressure FROM ({_ROWS_SQL})")
 def load_pressure(spark, d):
     return _row_counts(spark, d).select("table_name", assess.load_pressure(F.col("n_rows"), F.col("n_rows") * 64).alias("pressure"))
