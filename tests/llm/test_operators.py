@@ -169,3 +169,19 @@ def test_bpe_columns_round_trip(spark):
     got = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, pattern, check=True), ranks, pattern).orderBy("doc_id").collect()
     assert [bytes(r["decoded"]) for r in got] == ["héllo wörld\n".encode(), b""]
     assert got[1]["token_ids"] == [] and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_phrases_against_longest_substrings():
+    """Words abreast give what a search for the longest substring gives, one word at a time."""
+    texts = [" banana bandana nab ", " the theme then thaws ", " é漢字𝄞 "]
+    words = ["banana", "thethe", "x", "漢𝄞é", "nabthawsbandana" * 4, "a", "a"]
+    got = language_id.phrase_counts(words, [language_id.Matcher(t) for t in texts])
+    for i, w in enumerate(words):
+        for k, text in enumerate(texts):
+            whole, at, n = f" {w} ", 0, 0
+            while at < len(whole):
+                size = 1
+                while at + size < len(whole) and whole[at : at + size + 1] in text:
+                    size += 1
+                at, n = at + size, n + 1
+            assert got[i, k] == n, (w, text)
