@@ -279,22 +279,26 @@ def bucket_bits(n_chunks: int, chunk_bytes: int = 4 << 20, bucket_bytes: int = 2
 # ---------------------------------------------------------------- graphs
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1024) -> DataFrame:
     """(node, component) for all nodes of an edge table; component is the smallest node reachable.
 
-    Labels start at the smallest neighbour and fall by neighbour minimum and pointer jumping, a written
-    table each round, until a round changes nothing: about log(diameter) rounds. Minimums are combined
-    before they are shuffled; the joins meet hot nodes as adaptive skew joins. Nothing is collected but
-    one count a round.
+    Labels start at the smallest neighbour. In a round each node offers the least label among its neighbours to
+    itself and to the node its own label names, then takes its label's new label: labels are trees whose
+    roots are hooked on to one another and whose depth is halved, so that the rounds grow with a power of
+    log(nodes), in whatever order the nodes lie. It ends when a round changes nothing, and raises after ``rounds``.
+    Minimums are combined before they are shuffled; the joins meet hot nodes as adaptive skew joins. Nothing is
+    collected but one count a round.
     """
     both = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        offered = F.array(F.struct("node", "near"), F.struct(F.col("component").alias("node"), "near"))
+        least = labels.join(near, "node").select(F.inline(offered)).groupBy("node").agg(F.min("near").alias("near"))
+        low = materialize(labels.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
+        up = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
         step = materialize(low.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
         labels = step.select("node", "component")
         if step.where("was <> component").limit(1).count() == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")

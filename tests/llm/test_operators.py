@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, registry, substring_dedup, warc
+from ferrule.llm import bpe, common, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, pii, quality_rules, registry, substring_dedup, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, kept string"
@@ -86,6 +86,15 @@ def test_jaccard_brute_force(spark):
         assert set(map(tuple, got.collect())) == want
 
 
+def test_components_of_shuffled_path(spark):
+    for ids in (np.random.default_rng(1).permutation(1500), np.arange(1500)):
+        edges = list(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)) + [(5001, 5000), (5001, 5001)]
+        got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got == {**dict.fromkeys(range(1500), 0), 5000: 5000, 5001: 5000}
+    with pytest.raises(RuntimeError):
+        common.components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
+
+
 def test_lines_keep_first_copy(spark):
     a, b = "a b c d e f g h i j k", "l m n o p q r s t u v"
     rows = [(1, f"{a}\nx\n{b}"), (2, f"new\n{a}\nx\n{b}\nx"), (3, f"{b}\n{a}"), (4, "x")]
