@@ -1,17 +1,19 @@
 r"""Line deduplication by pairwise alignment of overlapping documents.
 
 A line is known by the hash of its words and by which of its equals within the document it is (first, second ...),
-so that it occurs once in any document. Each line that several documents hold links each later holder
-with the earliest: a star, linear in the lines, whatever the size of a group, and no line is left
-out. The links of two documents are the points of a patience diff: lines of at most ``rare_df`` holders
-are the anchors, their longest increasing run is kept, and the gaps between anchors are aligned in
-turn by the frequent lines within them; where no line is rare, the frequent ones align alone. Runs of aligned
-lines of ``min_block_words`` words and more are deleted from the later document. The first copy of
-a line in the corpus always stays.
+so that it occurs once in any document. A document with the very lines of an earlier one is a copy: it
+is emptied as one block and takes no further part, so that copies make no line frequent. Among the others
+each line of at most ``rare_df`` holders pairs each later holder with every earlier one, and the pair
+is aligned over all lines that both hold. The common lines are the points of a patience diff: the
+rare ones are the anchors, their longest increasing run is kept, and the gaps between anchors are aligned in
+turn by the frequent lines within them; where no line is rare, the frequent ones align alone. A frequent line
+that no pair has aligned links its holder with its earliest holder, if these are no pair: a star, linear in the lines,
+whatever the size of a group, aligned in the same way. Runs of aligned lines of ``min_block_words`` words
+and more are deleted from the later document. The first copy of a line in the corpus always stays.
 
 "Later" is by id, null last, then by place in the written chunks. Only line postings are shuffled by line; a
-hot line is summed before it is shuffled and joined as a skewed join. Points gather by chunk of documents,
-bounded by the chunk's lines.
+hot line is summed before it is shuffled and joined as a skewed join. A document's line hashes travel once to each chunk
+that holds partners of it; points gather by chunk of documents, bounded by the chunk's lines times ``rare_df``.
 
 Defined cases: null text stays null and has no lines; lines without words are never matched and stay; repeated
 rows are documents of their own, the later ones emptied; other columns are ignored; an empty table
@@ -24,13 +26,16 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm import common as c
 
+LINES = "chunk long, ids binary, counts binary, keys binary, words binary"
+WHOLE = "whole long, rank long, chunk long, doc int"
 POSTING = "key long, rank long, chunk long, doc int, pos int, words int"
-POINT = "chunk long, doc int, pos int, words int, a_chunk long, a_doc int, a_pos int, holders long"
+SHIPPED = "chunk long, a_chunk long, a_doc int, docs binary, keys binary"
 
 
 def line_table(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -99,31 +104,50 @@ def patience(points: list[tuple[int, int, int]], rare_df: int) -> list[int]:
     return out
 
 
-def _deleted(table: pa.Table, rare_df: int, min_words: int) -> dict[int, set[int]]:
-    """For each document of a chunk with points, its lines to delete."""
-    cols = [table.column(k).to_numpy() for k in ("doc", "a_chunk", "a_doc", "pos", "a_pos", "holders", "words")]
-    order = np.lexsort((cols[3], cols[2], cols[1], cols[0]))
-    doc, ac, ad, pos, apos, holders, words = (x[order].tolist() for x in cols)
-    out, i, n = {}, 0, len(doc)
-    while i < n:
-        d, size, aligned = doc[i], {}, []
-        while i < n and doc[i] == d:
-            j = i
-            while j < n and doc[j] == d and ac[j] == ac[i] and ad[j] == ad[i]:
-                size[pos[j]] = words[j]
-                j += 1
-            aligned += patience(list(zip(pos[i:j], apos[i:j], holders[i:j], strict=True)), rare_df)
-            i = j
-        gone, run = set(), []
+def _lines_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of LINES: the documents' ids, where the lines of each begin, and the lines' keys and words."""
+    ids, counts, keys, words = (c.unpack_any(row[k], t) for k, t in (("ids", np.int64), ("counts", np.int32), ("keys", np.int64), ("words", np.int32)))
+    return ids, np.concatenate([[0], np.cumsum(counts)]), keys, words
+
+
+def _deleted(start: np.ndarray, keys: np.ndarray, words: np.ndarray, copies: list[int], points: pa.Table, partners: pa.Table, rare_df: int, min_words: int) -> dict[int, set[int]]:
+    """For each document of a chunk that loses lines, the lines to delete."""
+    gone = {d: set(range(int(start[d + 1] - start[d]))) for d in copies if words[start[d] : start[d + 1]].sum() >= min_words}
+    cols = [points.column(k).to_numpy() for k in ("doc", "pos", "a_chunk", "a_doc", "a_pos", "holders")]
+    order = np.lexsort((cols[1], cols[0]))
+    doc, pos, ac, ad, apos, holders = (x[order] for x in cols)
+    pairs: dict[int, list[int]] = {}
+    for i, docs in enumerate(partners.column("docs")):
+        for d in np.frombuffer(docs.as_py(), np.int32).tolist():
+            pairs.setdefault(d, []).append(i)
+    far = list(zip(partners.column("a_chunk").to_pylist(), partners.column("a_doc").to_pylist(), strict=True))
+    bodies = partners.column("keys")
+    cut = [*np.flatnonzero(np.diff(doc, prepend=-1)).tolist(), len(doc)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        d = int(doc[i])
+        own, size = keys[start[d] : start[d + 1]], words[start[d] : start[d + 1]]
+        held = dict(zip(pos[i:j].tolist(), holders[i:j].tolist(), strict=True))
+        aligned, known = set(), set()
+        for k in pairs.get(d, ()):
+            known.add(far[k])
+            _, at, other = np.intersect1d(own, np.frombuffer(bodies[k].as_py(), np.int64), assume_unique=True, return_indices=True)
+            aligned.update(patience([(x, y, held[x]) for x, y in sorted(zip(at.tolist(), other.tolist(), strict=True))], rare_df))
+        stars: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for p, x, y, q, n in zip(*(z[i:j].tolist() for z in (pos, ac, ad, apos, holders)), strict=True):
+            if p not in aligned and (x, y) not in known:
+                stars.setdefault((x, y), []).append((p, q, n))
+        for left in stars.values():
+            aligned.update(patience(left, rare_df))
+        lost, run = set(), []
         for p in [*sorted(aligned), 1 << 60]:
             if run and p != run[-1] + 1:
-                if sum(size[x] for x in run) >= min_words:
-                    gone.update(run)
+                if size[run].sum() >= min_words:
+                    lost.update(run)
                 run = []
             run.append(p)
-        if gone:
-            out[d] = gone
-    return out
+        if lost:
+            gone[d] = lost
+    return gone
 
 
 def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -131,33 +155,86 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
     src = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
     chunks = c.chunked(src, "op2-texts", ["doc_id", *carry], chunk_bytes=chunk_bytes)
 
-    def post(batches):
+    def split(batches):
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 table = c.opened(body.as_py())
-                doc, pos, key, words = line_table(table.column("text"))
+                doc, _, key, words = line_table(table.column("text"))
                 ids = table.column("doc_id").cast(pa.int64()).fill_null((1 << 63) - 1).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[doc]), pa.array(np.full(len(key), chunk)), pa.array(doc.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(words.astype(np.int32))], schema=c.arrow_schema(POSTING))
+                counts = np.bincount(doc, minlength=len(ids)).astype(np.int32)
+                yield c.batch_of([(chunk, *map(c.pack_any, (ids, counts, key.astype(np.int64), words.astype(np.int32))))], LINES)
+
+    lines = c.materialize(chunks.mapInArrow(split, LINES), "op2-lines")
+
+    def wholes(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ids, start, keys, _ = _lines_of(row)
+                some = np.flatnonzero(np.diff(start))
+                if not len(some):
+                    continue
+                size = np.diff(start)[some]
+                place = np.arange(len(keys)) - np.repeat(start[some], size)
+                power = np.full(int(size.max()), c._STEP, np.uint64)
+                power[0] = 1
+                np.multiply.accumulate(power, out=power)
+                whole = c.mix64(np.add.reduceat(keys.view(np.uint64) * power[place], start[some]) + size.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[some]), pa.array(np.full(len(some), row["chunk"])), pa.array(some.astype(np.int32))], schema=c.arrow_schema(WHOLE))
 
-    postings = c.materialize(chunks.mapInArrow(post, POSTING), "op2-lines")
+    whole = c.materialize(lines.mapInArrow(wholes, WHOLE), "op2-wholes")
+    least = whole.groupBy("whole").agg(F.min(F.struct("rank", "chunk", "doc")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "f")
+    copies = whole.join(least, "whole").where("chunk <> f.chunk OR doc <> f.doc").groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
+    lines = c.materialize(lines.join(copies, "chunk", "left"), "op2-copies")
+
+    def post(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ids, start, keys, words = _lines_of(row)
+                doc = np.repeat(np.arange(len(ids)), np.diff(start))
+                pos = np.arange(len(keys)) - start[doc]
+                alone = np.ones(len(ids), bool)
+                alone[row["copies"] or []] = False
+                ok = alone[doc]
+                cols = [keys, ids[doc], np.full(len(keys), row["chunk"]), doc.astype(np.int32), pos.astype(np.int32), words]
+                yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in cols], schema=c.arrow_schema(POSTING))
+
+    postings = c.materialize(lines.mapInArrow(post, POSTING), "op2-postings")
     first = postings.groupBy("key").agg(F.min(F.struct("rank", "chunk", "doc", "pos")).alias("f"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    first = c.materialize(first.select("key", F.col("f.chunk").alias("a_chunk"), F.col("f.doc").alias("a_doc"), F.col("f.pos").alias("a_pos"), "holders"), "op2-first")
-    points = postings.join(first, "key").where("chunk <> a_chunk OR doc <> a_doc").select("chunk", "doc", "pos", "words", "a_chunk", "a_doc", "a_pos", "holders")
+    first = c.materialize(first.select("key", F.col("f.rank").alias("a_rank"), F.col("f.chunk").alias("a_chunk"), F.col("f.doc").alias("a_doc"), F.col("f.pos").alias("a_pos"), "holders"), "op2-first")
+    points = c.materialize(postings.join(first, "key").where("chunk <> a_chunk OR doc <> a_doc"), "op2-points")
+    # all holders of a rare line but the first, at most rare_df - 1, with each earlier one
+    rare = points.where(F.col("holders") <= rare_df).groupBy("key").agg(F.first(F.struct(F.col("a_rank").alias("rank"), F.col("a_chunk").alias("chunk"), F.col("a_doc").alias("doc"))).alias("f"), F.collect_list(F.struct("rank", "chunk", "doc")).alias("more"))
+    later = rare.select(F.explode("more").alias("b"), F.concat(F.array("f"), "more").alias("all"))
+    pairs = later.select("b", F.explode(F.filter("all", lambda x: x < F.col("b"))).alias("a")).select("b.chunk", "b.doc", F.col("a.chunk").alias("a_chunk"), F.col("a.doc").alias("a_doc")).distinct()
+    partners = pairs.groupBy("a_chunk", "chunk", "a_doc").agg(F.collect_list("doc").alias("docs"))
+
+    def ship(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist() if right.num_rows else []:
+            _, start, keys, _ = _lines_of(row)
+            for p in right.to_pylist():
+                d = p["a_doc"]
+                out.append((p["chunk"], p["a_chunk"], d, np.array(p["docs"], np.int32).tobytes(), keys[start[d] : start[d + 1]].tobytes()))
+        return pa.Table.from_batches([c.batch_of(out, SHIPPED)])
+
+    shipped = lines.groupBy("chunk").cogroup(partners.groupBy("a_chunk")).applyInArrow(ship, SHIPPED)
+    near = points.select("chunk", "doc", "pos", "a_chunk", "a_doc", "a_pos", "holders").unionByName(shipped, allowMissingColumns=True)
     kinds = ", ".join(f"{x} {src.schema[x].dataType.simpleString()}" for x in ("doc_id", *carry))
     schema = f"{kinds}, text string, n_lines long, n_removed long, n_words_left long"
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        gone = _deleted(right, rare_df, min_block_words) if right.num_rows else {}
+        stars = right.filter(pc.is_null(right.column("keys"))).combine_chunks()
+        partners = right.filter(pc.is_valid(right.column("keys"))).combine_chunks()
         out = []
-        for body in left.column("body"):
-            table = c.opened(body.as_py())
-            texts, data = table.column("text"), None
-            doc, pos, _, words = line_table(texts)
+        for row in left.to_pylist():
+            table = c.opened(row["body"])
+            _, start, keys, words = _lines_of(row)
+            gone = _deleted(start, keys, words, row["copies"] or [], stars, partners, rare_df, min_block_words)
             n = table.num_rows
-            lines, left_words = np.bincount(doc, minlength=n), np.bincount(doc, weights=words, minlength=n).astype(np.int64)
+            lines = np.diff(start)
+            left_words = np.bincount(np.repeat(np.arange(n), lines), weights=words, minlength=n).astype(np.int64)
             removed = np.zeros(n, np.int64)
-            kept = texts.to_pylist()
-            start = np.concatenate([[0], np.cumsum(lines)])
+            kept = table.column("text").to_pylist()
             for d, places in gone.items():
                 k, keep = 0, []
                 for line in kept[d].split("\n"):
@@ -174,7 +251,8 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
             out.append(pa.Table.from_arrays([*cols, pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(removed), pa.array(left_words)], names=["doc_id", *carry, "text", "n_lines", "n_removed", "n_words_left"]))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(points.groupBy("chunk")).applyInArrow(cut, schema)
+    whole_chunks = chunks.join(lines, "chunk")
+    return whole_chunks.groupBy("chunk").cogroup(near.groupBy("chunk")).applyInArrow(cut, schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,16 @@ def test_lines_keep_first_copy(spark):
     assert got == {1: rows[0][1], 2: "new\nx", 3: b, 4: "x"}
 
 
+def test_lines_align_with_real_partners(spark):
+    a, b, d = ("a b c d e f g h i j k", "l m n o p q r s t u v", "1 2 3 4 5 6 7 8 9 10 11")
+    rows = [(1, f"{a}\n{b}"), (2, f"{b}\n{a}\n{d}"), (3, f"{b}\n{a}\n{d}"), (4, f"{b}\n{a}\nnew\n{d}")]
+    rows += [(10 + i, f"{a}\nq{i}\n{b}") for i in range(5)]
+    for rare in (2, 64):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), rare_df=rare).collect()}
+        assert got[1] == rows[0][1] and got[3] == "" and got[4] == "new"
+        assert [got[10 + i] for i in range(5)] == [f"q{i}" for i in range(5)]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.language_id(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out(F.col("doc_id"))).toPandas()
