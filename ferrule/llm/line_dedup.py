@@ -2,7 +2,7 @@ r"""Line deduplication by pairwise alignment of overlapping documents.
 
 A line is known by the hash of its words and by which of its equals within the document it is (first, second ...),
 so that it occurs once in any document. A document with the very lines of an earlier one is a copy: it
-is emptied as one block and takes no further part, so that copies make no line frequent. Among the others
+is emptied, however short, and takes no further part, so that copies make no line frequent. Among the others
 each line of at most ``rare_df`` holders pairs each later holder with every earlier one, and the pair
 is aligned over all lines that both hold. The common lines are the points of a patience diff: the
 rare ones are the anchors, their longest increasing run is kept, and the gaps between anchors are aligned in
@@ -112,7 +112,7 @@ def _lines_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 def _deleted(start: np.ndarray, keys: np.ndarray, words: np.ndarray, copies: list[int], points: pa.Table, partners: pa.Table, rare_df: int, min_words: int) -> dict[int, set[int]]:
     """For each document of a chunk that loses lines, the lines to delete."""
-    gone = {d: set(range(int(start[d + 1] - start[d]))) for d in copies if words[start[d] : start[d + 1]].sum() >= min_words}
+    gone = {d: set(range(int(start[d + 1] - start[d]))) for d in copies}
     cols = [points.column(k).to_numpy() for k in ("doc", "pos", "a_chunk", "a_doc", "a_pos", "holders")]
     order = np.lexsort((cols[1], cols[0]))
     doc, pos, ac, ad, apos, holders = (x[order] for x in cols)

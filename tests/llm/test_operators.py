@@ -112,6 +112,16 @@ def test_lines_align_with_real_partners(spark):
         assert [got[10 + i] for i in range(5)] == [f"q{i}" for i in range(5)]
 
 
+def test_lines_empty_short_copies(spark):
+    texts = [" ".join(f"w{n}x{k}" for k in range(n)) for n in range(1, 10)]
+    rows = [(i, t) for i, t in enumerate(texts)] * 2 + [(20, "p\n\n q"), (21, " p\nq"), (22, "p q"), (None, "p q"), (23, "p")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        assert sorted((r["text"], r["n_removed"], r["n_words_left"]) for r in got if r["doc_id"] == i) == [("", 1, 0), (t, 0, i + 1)]
+    left = {r["doc_id"]: (r["text"], r["n_words_left"]) for r in got}
+    assert left[20] == ("p\n\n q", 2) and left[21] == ("", 0) and left[22] == ("p q", 2) and left[None] == ("", 0) and left[23] == ("p", 1)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.language_id(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out(F.col("doc_id"))).toPandas()
