@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is halved down to leaves of at most ``leaf_chars`` characters. Two neighbours are joined by encoding
-again a window around their border that grows on either side until it reaches a place where white space
-follows another character. No match of the split pattern contains such a pair, and none looks further
-than it, so that the pattern always cuts there, whatever stands beyond: the tokens outside the window
-are proven to be those of the joined text. If a side has no such place, the window takes all of it.
-Joining is associative, with the empty sequence as its unit. Decoding concatenates bytes up the same
-tree.
+A text is halved down to leaves of at most ``leaf_chars`` characters, which the vocabulary's library encodes. Two
+neighbours are joined by encoding again a window around their border. A window begins and ends at sure
+cuts, places where any text is split whatever stands around it: before a space that follows another
+character and is followed by a letter. It holds a rim, up to the next sure cut, on either side; it grows, twice
+as many cuts each time, until its tokens over both rims are those that the halves had, which shows that the
+halves agree with the whole from there on, and the cuts prove that nothing beyond them changes. If a side
+has too few cuts, the window takes all of it. Joining is associative, with the empty sequence as its unit.
+Decoding concatenates bytes up the same tree.
+
+The cuts are sure for patterns whose matches hold no white space but at their beginning or their end, and none but
+line breaks at the end; a pattern that crosses such a place in a set of probes is refused.
 
 Defined cases: null counts as empty text and has no tokens; repeated rows give equal rows; special tokens
-are never made; other columns are ignored.
+are never made; other columns are ignored, or kept by ``bpe_encode`` and ``bpe_decode``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,15 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrule.llm.common import tidy
+
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-LEAF_CHARS = 1 << 14
-#: White space under any reading; str.isspace() holds for all that any reading counts as white space, and more.
-_SURE_SPACE = frozenset(" \t\n\r")
+LEAF_CHARS = 512
+#: Characters of many kinds, of which probes of a pattern are made.
+PROBES = ("a", "É", "語", "1", "'s", "!", "_", "\u0301", "\n", "\u3000", "\t")
 
 
 @lru_cache(maxsize=2)
@@ -38,48 +45,99 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sync_left(text: str, start: int, end: int) -> int:
-    """The last sure cut in text[start:end], found in windows that grow; start if there is none."""
-    size = 64
-    while True:
-        at = max(start, end - size)
-        for i in range(end - 1, at, -1):
-            if text[i] in _SURE_SPACE and not text[i - 1].isspace():
-                return i
-        if at == start:
-            return start
-        end, size = at + 1, size * 2
+@lru_cache(maxsize=2)
+def check_pattern(pattern: str) -> None:
+    """Refuses a split pattern that has a match across a place that _sure takes for a cut."""
+    split = regex.compile(pattern)
+    for before in PROBES:
+        for second in ("", *PROBES):
+            for letter in ("a", "É", "語"):
+                text = f"{letter}{before}{second} {letter}{before}"
+                at = text.index(" ")
+                if not text[at - 1].isspace() and any(m.start() < at < m.end() for m in split.finditer(text)):
+                    raise ValueError(f"the split pattern has matches across {text!r}")
+
+
+def _sure(text: str, i: int) -> bool:
+    """Whether any text is cut before place i, whatever stands further off."""
+    return text[i] == " " and not text[i - 1].isspace() and text[i + 1].isalpha()
+
+
+def _cuts_left(text: str, start: int, end: int, n: int) -> list[int]:
+    """The last n sure cuts in text[start:end], from the end on; fewer if there are no more."""
+    out, at = [], end - 1
+    while len(out) < n:
+        at = text.rfind(" ", start + 1, at)
+        if at < 0:
+            break
+        if _sure(text, at):
+            out.append(at)
+    return out
+
+
+def _cuts_right(text: str, start: int, end: int, n: int) -> list[int]:
+    """The first n sure cuts in text[start:end]."""
+    out, at = [], start
+    while len(out) < n:
+        at = text.find(" ", at + 1, end - 1)
+        if at < 0:
+            break
+        if _sure(text, at):
+            out.append(at)
+    return out
 
 
-def _sync_right(text: str, start: int, end: int) -> int:
-    """The first sure cut in text[start:end]; end if there is none."""
-    i = start + 1
-    while i < end:
-        if text[i] in _SURE_SPACE and not text[i - 1].isspace():
-            return i
-        i += 1
-    return end
+@lru_cache(maxsize=2)
+def _token_sizes(enc: tiktoken.Encoding) -> list[int]:
+    """Bytes of each token."""
+    sizes = [0] * enc.n_vocab
+    for body in enc.token_byte_values():
+        sizes[enc.encode_single_token(body)] = len(body)
+    return sizes
 
 
 def encode(enc, text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
     """Token ids of a whole text."""
-    if len(text) <= leaf_chars:
-        return enc.encode_ordinary(text)
-    level = [(k, min(k + leaf_chars, len(text)), enc.encode_ordinary(text[k : k + leaf_chars])) for k in range(0, len(text), leaf_chars)]
-    while len(level) > 1:
-        level = [_join(enc, text, level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-    return level[0][2]
+    return _encode(enc.encode_ordinary, _token_sizes(enc), text, 0, len(text), max(1, leaf_chars))
 
 
-def _join(enc, text: str, left: tuple, right: tuple) -> tuple:
-    (a, m, x), (_, b, y) = left, right
-    p, q = _sync_left(text, a, m), _sync_right(text, m, b)
-    drop_left = len(enc.encode_ordinary(text[p:m])) if p > a else len(x)
-    drop_right = len(enc.encode_ordinary(text[m:q])) if q < b else len(y)
-    return a, b, x[: len(x) - drop_left] + enc.encode_ordinary(text[p:q]) + y[drop_right:]
+def _encode(enc, sizes: list[int], text: str, a: int, b: int, leaf: int) -> list[int]:
+    """Token ids of text[a:b] as a text of its own."""
+    if b - a <= leaf:
+        return enc(text[a:b])
+    m = (a + b) // 2
+    return _join(enc, sizes, text, a, m, b, _encode(enc, sizes, text, a, m, leaf), _encode(enc, sizes, text, m, b, leaf))
 
 
-def decode(enc, ids: list[int], leaf: int = 1 << 14) -> bytes:
+def _over(sizes: list[int], ids: list[int], text: str, step: int) -> int:
+    """How many tokens from the beginning (step 1) or the end (-1) of ids make up text, which ends at a token's border."""
+    left, n = len(text.encode()), 0
+    for t in ids[::step]:
+        if left <= 0:
+            break
+        left, n = left - sizes[t], n + 1
+    return n
+
+
+def _join(enc, sizes: list[int], text: str, a: int, m: int, b: int, x: list[int], y: list[int]) -> list[int]:
+    """Token ids of text[a:b], x and y being those of its parts up to and from m."""
+    n = 2
+    while True:
+        left, right = _cuts_left(text, a, m, n), _cuts_right(text, m, b, n)
+        all_left, all_right = len(left) < n, len(right) < n
+        p, q = a if all_left else left[-1], b if all_right else right[-1]
+        window = enc(text[p:q])
+        # where the window begins in x and ends in y, and how many of its tokens lie over its rims
+        k = 0 if all_left else len(x) - _over(sizes, x[-(m - p) * 4 :], text[p:m], -1)
+        j = len(y) if all_right else _over(sizes, y[: (q - m) * 4], text[m:q], 1)
+        u = 0 if all_left else _over(sizes, window, text[p : left[-2]], 1)
+        v = 0 if all_right else _over(sizes, window, text[right[-2] : q], -1)
+        if window[:u] == x[k : k + u] and window[len(window) - v :] == y[j - v : j]:
+            return x[:k] + window + y[j:]
+        n *= 2
+
+
+def decode(enc, ids: list[int], leaf: int = 64) -> bytes:
     """Bytes of a token sequence, concatenated up the tree."""
     if len(ids) <= leaf:
         return enc.decode_bytes(ids)
@@ -98,8 +156,10 @@ def _digest_batch(texts: pa.Array, enc, words: list[str], leaf_chars: int):
 
 def bpe_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
+    check_pattern(pattern)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches):
         enc = encoding(ranks, pattern)
         words = [str(i) for i in range(enc.n_vocab)]
@@ -119,11 +179,13 @@ def _lists(rows: list[list[int]]) -> pa.Array:
 def bpe_encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", check: bool = False, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """The documents with their token ids as a column of array<int>; a column of that name is replaced.
     With check also decoded_sha256, the digest of what the ids decode to. A few documents are held at a time."""
+    check_pattern(pattern)
     src = docs.drop(out_col, *(["decoded_sha256"] if check else []))
     names, at = src.columns, src.columns.index(text_col)
     extra = [T.StructField("decoded_sha256", T.StringType())] if check else []
     kind = T.StructType([*src.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), *extra])
 
+    @tidy
     def run(batches):
         enc = encoding(ranks, pattern)
         for b in batches:
@@ -141,6 +203,7 @@ def bpe_decode(docs: DataFrame, ranks: str, pattern: str, ids_col: str = "token_
     src = docs.drop(out_col)
     names, at = src.columns, src.columns.index(ids_col)
 
+    @tidy
     def run(batches):
         enc = encoding(ranks, pattern)
         for b in batches:

@@ -1,12 +1,18 @@
 """Shared plumbing of the llm operators: scratch tables, word hashing, packed blocks, connected components.
 
 Scratch tables are Parquet folders below ``spark.checkpoint.dir`` (or the context's
-checkpoint folder); only where neither is set, as in tests, a temporary folder is made.
+checkpoint folder); only in local mode, where neither is set, a temporary folder is made.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -24,27 +30,21 @@ _own_dirs: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; on a cluster it must be named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="ferrule-")
     return _own_dirs[app]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table that goes when the JVM ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +52,130 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def _relations(df: DataFrame):
+    """(JVM relation, root path) of each file scan in a frame's plan."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            for k in range(roots.size()):
+                yield leaf.relation(), roots.apply(k).toString()
+
+
+class Scratch:
+    """The scratch tables of one operator call, as a context.
+
+    ``table`` cuts a frame's lineage with a Parquet table, ``drop`` deletes tables that no later plan reads. What
+    ``result`` is given may still read some; on leaving the context all others are deleted, and on an error all. A
+    table that a result reads goes once no frame refers to it, which is looked up whenever a context is
+    entered, by weak references to the JVM's relations; at the latest it goes when the JVM ends.
+    """
+
+    _held: list[tuple[str, str, object]] = []  # (application, path, weak reference)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, {}, set()
+
+    def __enter__(self):
+        self.sweep(self.spark)
+        return self
+
+    def __exit__(self, kind, value, trace):
+        for path, ref in self.paths.items():
+            if kind is None and path in self.kept:
+                Scratch._held.append((self.spark.sparkContext.applicationId, path, ref))
+            else:
+                _delete(self.spark, path)
+
+    @classmethod
+    def sweep(cls, spark: SparkSession) -> None:
+        app = spark.sparkContext.applicationId
+        cls._held = [x for x in cls._held if x[0] == app]
+        if cls._held:
+            gc.collect()
+            time.sleep(0.2)  # what Python lets go of, the JVM lets go of a little later
+            spark._jvm.System.gc()
+            gone = [x for x in cls._held if x[2].refersTo(None)]
+            cls._held = [x for x in cls._held if x not in gone]
+            for _, path, _ in gone:
+                _delete(spark, path)
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = scratch_path(self.spark, tag)
+        self.paths[path] = None
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        self.paths[path] = self.spark._jvm.java.lang.ref.WeakReference(next(_relations(out))[0])
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if self.paths.pop(t._scratch, 0) != 0:
+                _delete(self.spark, t._scratch)
+
+    def collect_garbage(self) -> None:
+        """Lets Spark delete the shuffle files of plans that no frame refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def result(self, df: DataFrame) -> DataFrame:
+        read = {root.rpartition("/")[2] for _, root in _relations(df)}
+        self.kept |= {path for path in self.paths if path.rpartition("/")[2] in read}
+        return df
+
+
+def tidy(f):
+    """A function for a Python worker, after which what it has freed goes back to the system: workers live on
+    and would hold the most memory that any task ever took."""
+
+    def trim():
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            trim()
+
+    else:
+
+        @functools.wraps(f)
+        def run(*tables):
+            out = f(*tables)
+            trim()
+            return out
+
+    if not inspect.isgeneratorfunction(f):
+        run.__signature__ = inspect.signature(f)
+    return run
+
+
+def numbered(docs: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """docs with a column that tells all rows apart, the same at every reading: file and place of a Parquet
+    scan's rows; any other frame is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "Parquet" in plan.relation().fileFormat().getClass().getSimpleName():
+        return docs.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")))
+    return scratch.table(docs.withColumn(name, F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("place"))), "numbered")
+
+
+def carried(src: DataFrame, carry: tuple[str, ...], own: tuple[str, ...]) -> None:
+    """Refuses carried columns that would clash with an operator's own."""
+    clash = sorted({x.lower() for x in carry} & {x.lower() for x in own})
+    if clash:
+        raise ValueError(f"rename the carried columns {', '.join(clash)}")
+
+
 def n_words(text):
     """Number of words of a text column, 0 for null; no arrays of words are kept."""
     bare = F.btrim(text, F.lit(SPACES))
@@ -202,7 +326,7 @@ def cut_points(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
 
 
-def chunked(docs: DataFrame, tag: str, columns: list[str], text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
+def chunked(scratch: Scratch, docs: DataFrame, tag: str, columns: list[str], text: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """Documents as rows (chunk long, body binary) of about ``chunk_bytes`` of text each, written once.
 
     The body is a compressed Arrow stream of ``columns`` and ``text``. A written chunk never changes, so
@@ -210,6 +334,7 @@ def chunked(docs: DataFrame, tag: str, columns: list[str], text: str = "text", c
     """
     schema = "chunk long, body binary"
 
+    @tidy
     def write(batches):
         from pyspark import TaskContext
 
@@ -241,7 +366,7 @@ def chunked(docs: DataFrame, tag: str, columns: list[str], text: str = "text", c
         if held:
             yield flush()
 
-    return materialize(docs.select(*columns, text).mapInArrow(write, schema), tag)
+    return scratch.table(docs.select(*columns, text).mapInArrow(write, schema), tag)
 
 
 def opened(body: bytes) -> pa.Table:
@@ -279,7 +404,7 @@ def bucket_bits(n_chunks: int, chunk_bytes: int = 4 << 20, bucket_bytes: int = 2
 # ---------------------------------------------------------------- graphs
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1024) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1024) -> DataFrame:
     """(node, component) for all nodes of an edge table; component is the smallest node reachable.
 
     Labels start at the smallest neighbour. In a round each node offers the least label among its neighbours to
@@ -287,18 +412,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1024)
     roots are hooked on to one another and whose depth is halved, so that the rounds grow with a power of
     log(nodes), in whatever order the nodes lie. It ends when a round changes nothing, and raises after ``rounds``.
     Minimums are combined before they are shuffled; the joins meet hot nodes as adaptive skew joins. Nothing is
-    collected but one count a round.
+    collected but one count a round; a round's tables go with the next.
     """
-    both = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
+    both = scratch.table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    held = scratch.table(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     for _ in range(rounds):
+        labels = held.select("node", "component")
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         offered = F.array(F.struct("node", "near"), F.struct(F.col("component").alias("node"), "near"))
         least = labels.join(near, "node").select(F.inline(offered)).groupBy("node").agg(F.min("near").alias("near"))
-        low = materialize(labels.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
+        low = scratch.table(labels.join(least, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
         up = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = materialize(low.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
-        labels = step.select("node", "component")
+        step = scratch.table(low.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("up", "component")).alias("component")), "labels")
+        scratch.drop(held, low)
+        held = step
         if step.where("was <> component").limit(1).count() == 0:
-            return labels
+            scratch.drop(both)
+            return step
     raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def merged(scratch: Scratch, labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of components with further edges (a, b): only the components that the edges join are looked at again."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"l{side}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    ends = scratch.table(ends, "joined")
+    top = components(scratch, ends, "x", "y")
+    new = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    over = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    out = scratch.table(labels.select("node", "component").union(new).join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "labels")
+    scratch.drop(ends, top, labels)
+    return out

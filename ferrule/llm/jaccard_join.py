@@ -57,7 +57,8 @@ def token_sets(texts, width: int) -> list[np.ndarray]:
     return out
 
 
-def _class_keys(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _class_keys(sets: list[np.ndarray], seed: int, address_bits: int, clashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Address and check of each set's class, 128 bits in all. Classes at a clashed address take one that mixes in the check."""
     sizes = np.array([len(x) for x in sets])
     keys = [np.zeros(len(sets), np.uint64) for _ in range(2)]
     full = np.flatnonzero(sizes)
@@ -66,18 +67,13 @@ def _class_keys(sets: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarr
         at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         for k, salt in enumerate((2 * seed + 1, 2 * seed + 2)):
             keys[k][full] = c.mix64(np.add.reduceat(c.mix64(flat ^ c.mix64(np.array([salt], np.uint64))), at) + sizes[full].astype(np.uint64))
+        if address_bits < 64:
+            keys[0] >>= np.uint64(64 - address_bits)
+        move = c.is_in(keys[0].view(np.int64), clashed) & (sizes > 0)
+        keys[0][move] = c.mix64(keys[0][move] + np.uint64(3) * c.mix64(keys[1][move]))
     return keys[0].view(np.int64), keys[1].view(np.int64)
 
 
-def _distinct_sets(body: bytes, width: int, seed: int):
-    """Sets of a chunk with two tokens or more, once a class, and their nodes."""
-    sets = token_sets(c.opened(body).column("text"), width)
-    nodes = _class_keys(sets, seed)[0]
-    _, first = np.unique(nodes, return_index=True)
-    keep = [i for i in first.tolist() if len(sets[i]) > 1]
-    return [sets[i] for i in keep], nodes[keep]
-
-
 def signature(t: np.ndarray) -> bytes:
     """A set's size and a bitmap of two to four bits a token, set by the tokens' low bits."""
     m = 1 << max(6, (2 * len(t) - 1).bit_length())
@@ -134,36 +130,56 @@ class Signatures:
         return pairs.filter(pa.array(ok))
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_df: int = 12, long_set: int = 200, pivots: int = 3, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; sets link at a similarity of percent / 100 or more."""
+def _groups(s: c.Scratch, docs: DataFrame, carry: tuple[str, ...], width: int, percent: int, rare_df: int, long_set: int, pivots: int, filter_bits: int, seed: int, id_col: str, text_col: str, chunk_bytes: int, address_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chunks, the rows (chunk, at, doc_id, n_shingles, node) and the classes (node, rep, component)."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    chunks = c.chunked(src, "op5-texts", ["doc_id"], chunk_bytes=chunk_bytes)
-
+    chunks = c.chunked(s, src, "op5-texts", ["doc_id", *carry], chunk_bytes=chunk_bytes)
+    clashed = np.zeros(0, np.int64)
+    least_tokens = 2 if percent > 50 else 1  # a set of one token has no near set but itself above a half
+
+    def distinct_sets(body: bytes):
+        """Sets of a chunk that may have near ones, once a class, and their nodes."""
+        sets = token_sets(c.opened(body).column("text"), width)
+        nodes = _class_keys(sets, seed, address_bits, clashed)[0]
+        _, first = np.unique(nodes, return_index=True)
+        keep = [i for i in first.tolist() if len(sets[i]) >= least_tokens]
+        return [sets[i] for i in keep], nodes[keep]
+
+    @c.tidy
     def narrow(batches):
         for b in batches:
-            for body in b.column(0):
+            for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 table = c.opened(body.as_py())
                 sets = token_sets(table.column("text"), width)
-                node, other = _class_keys(sets, seed)
+                node, other = _class_keys(sets, seed, address_bits, clashed)
                 ids = table.column("doc_id")
                 ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(node), pa.array(other)], ["doc_id", "n_shingles", "node", "other"])
-
-    sized = c.materialize(chunks.select("body").mapInArrow(narrow, f"doc_id {id_type}, {NARROW}"), "op5-sets")
-    classes = c.materialize(sized.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), (F.min("other") != F.max("other")).alias("clash")), "op5-classes")
-    if classes.where("clash").limit(1).count():
-        raise ValueError("two token sets share 64 bits of their class keys; run again with another seed")
+                n = len(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk), pa.int64()), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(node), pa.array(other)], ["chunk", "at", "doc_id", "n_shingles", "node", "other"])
+
+    for _ in range(8):
+        sized = s.table(chunks.mapInArrow(narrow, f"chunk long, at int, doc_id {id_type}, {NARROW}"), "op5-sets")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "chunk", "at")).alias("rep")
+        classes = s.table(sized.where("n_shingles > 0").groupBy("node").agg(first, (F.min("other") != F.max("other")).alias("clash")), "op5-classes")
+        found = [r["node"] for r in classes.where("clash").select("node").collect()]  # about n squared over 2**65 of n classes
+        if not found:
+            break
+        clashed = np.unique(np.concatenate([clashed, np.array(found, np.int64)]))
+        s.drop(sized, classes)
+    else:
+        raise ValueError("class addresses clash again and again; run with another seed")
 
     packed = chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("n")).first()["n"]
     bits = c.bucket_bits(3 * packed, 1)  # text is about three times its packed size
     slot = min(COUNT_BITS, max(3, filter_bits - bits))
 
+    @c.tidy
     def counted(batches):
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sets, _ = _distinct_sets(body.as_py(), width, seed)
+                sets, _ = distinct_sets(body.as_py())
                 if not sets:
                     continue
                 value, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -171,6 +187,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 low = _low32(value, bits) >> np.uint32(32 - COUNT_BITS)
                 yield c.batch_of([(k, chunk, c.pack(low[p[k] : p[k + 1]]), c.pack_any(np.minimum(n[p[k] : p[k + 1]], 65535).astype(np.uint16))) for k in range(1 << bits) if p[k + 1] > p[k]], "bucket int, chunk long, keys binary, n binary")
 
+    @c.tidy
     def frequent(table: pa.Table) -> pa.Table:
         value = np.concatenate([c.unpack(x.as_py(), "u4") for x in table.column("keys")])
         n = np.concatenate([c.unpack_any(x.as_py(), "u2") for x in table.column("n")]).astype(np.int64)
@@ -188,11 +205,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         mark[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     hot_bits = spark.sparkContext.broadcast(mark.tobytes())
 
+    @c.tidy
     def posted(batches):
         is_hot = np.unpackbits(np.frombuffer(hot_bits.value, np.uint8)).view(bool)
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sets, nodes = _distinct_sets(body.as_py(), width, seed)
+                sets, nodes = distinct_sets(body.as_py())
                 found, rows = {0: ([], [], []), 1: ([], [], [])}, []
 
                 def put(kind, keys, i, n, found=found, nodes=nodes):
@@ -210,7 +228,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                     often = t[hot][: prefix + 1 - int((~hot).sum())] if prefix + 1 > int((~hot).sum()) else t[:0]
                     if not len(often):
                         continue
-                    rows.append((-1, int(nodes[i]), 2, c.pack(t), None, None))
                     far = (int((~hot).sum()) * 1000 // n) << 40  # few rare tokens: near the middle of its group
                     if n < long_set * 100 / percent and len(often) > 1:
                         x, y = np.triu_indices(len(often), 1)
@@ -228,21 +245,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 if rows:
                     yield c.batch_of(rows, POSTED)
 
-    postings = c.materialize(chunks.mapInArrow(posted, POSTED), "op5-postings")
+    postings = s.table(chunks.mapInArrow(posted, POSTED), "op5-postings")
 
     def gathered(table: pa.Table):
         """Lists of two nodes or more: key, node, size, chunk, in order of key and node; a node once a list."""
-        if "part" in table.column_names or "chunks" not in table.column_names:
-            key = np.concatenate([c.unpack(x.as_py(), "u4").astype(np.uint64) + np.uint64(k << 32) for x, k in zip(table.column("keys"), table.column("bucket").to_pylist(), strict=True)])
-        else:
-            key = np.concatenate([c.unpack(x.as_py(), "u8") for x in table.column("keys")])
+        key = np.concatenate([c.unpack(x.as_py(), "u4").astype(np.uint64) + np.uint64(k << 32) for x, k in zip(table.column("keys"), table.column("bucket").to_pylist(), strict=True)])
         node = np.concatenate([c.unpack_any(x.as_py(), "i8") for x in table.column("nodes")])
         size = np.concatenate([c.unpack_any(x.as_py(), "u8") for x in table.column("sizes")])
-        if "chunks" in table.column_names:
-            chunk = np.concatenate([c.unpack_any(x.as_py(), "i8") for x in table.column("chunks")])
-        else:
-            lens = [len(c.unpack(x.as_py(), "u4")) for x in table.column("keys")]
-            chunk = np.repeat(table.column("chunk").to_numpy(), lens)
+        lens = [len(c.unpack(x.as_py(), "u4")) for x in table.column("keys")]
+        chunk = np.repeat(table.column("chunk").to_numpy(), lens)
         order = np.argsort(key, kind="stable")
         key, node, size, chunk = key[order], node[order], size[order], chunk[order]
         same = np.zeros(len(key) + 1, bool)
@@ -273,6 +284,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         return pa.Table.from_arrays([pa.array(x[new], pa.int64()) for x in (a, ca, b, cb)], schema=c.arrow_schema(PAIR))
 
+    @c.tidy
     def rare_pairs(table: pa.Table) -> pa.Table:
         key, node, size, chunk = gathered(table)
         found, d = [], 1
@@ -287,37 +299,53 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                 found = [tuple(t.column(k).to_numpy() for k in range(4))]
             d += 1
 
-    listed = "bucket int, keys binary, nodes binary, sizes binary, chunks binary, firsts binary"
+    listed = "bucket int, keys binary, nodes binary, sizes binary, chunks binary, parts binary, firsts binary"
 
-    def lists(table: pa.Table) -> pa.Table:
-        key, node, size, chunk = gathered(table)
+    def put_lists(bucket: int, key, node, size, chunk, part) -> pa.Table:
         if not len(key):
             return c.arrow_schema(listed).empty_table()
-        own = np.unique(node).tobytes()
-        return pa.Table.from_batches([c.batch_of([(table.column("part")[0].as_py(), c.pack(key), c.pack_any(node), c.pack_any(size), c.pack_any(chunk), own)], listed)])
+        return pa.Table.from_batches([c.batch_of([(bucket, c.pack(key), c.pack_any(node), c.pack_any(size), c.pack_any(chunk), c.pack_any(part), np.unique(node).tobytes())], listed)])
+
+    @c.tidy
+    def lists(table: pa.Table) -> pa.Table:
+        key, node, size, chunk = gathered(table)
+        order = np.lexsort((node, size >> np.uint64(40), key))  # a list's middle first
+        key, node, size, chunk = key[order], node[order], size[order], chunk[order]
+        return put_lists(table.column("part")[0].as_py(), key, node, size, chunk, node)
 
-    def pivot_pairs(turn: int, last: bool):
+    def got_lists(table: pa.Table):
+        row = table.to_pylist()[0]
+        return c.unpack(row["keys"], "u8"), *(c.unpack_any(row[k], t) for k, t in (("nodes", "i8"), ("sizes", "u8"), ("chunks", "i8"), ("parts", "i8")))
+
+    @c.tidy
+    def still_mixed(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Left: a bucket's lists; right: (bucket, node, component) of its nodes. The lists that hold two components or more."""
+        if not left.num_rows:
+            return c.arrow_schema(listed).empty_table()
+        key, node, size, chunk, part = got_lists(left)
+        known = right.column("node").to_numpy()
+        order = np.argsort(known)
+        known, label = known[order], right.column("component").to_numpy()[order]
+        if len(known):
+            at = np.searchsorted(known, node)
+            at[at == len(known)] = 0
+            part = np.where(known[at] == node, label[at], node)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        mixed = np.repeat(np.maximum.reduceat(part, start) != np.minimum.reduceat(part, start), np.diff(np.append(start, len(key))))
+        return put_lists(left.column("bucket")[0].as_py(), *(x[mixed] for x in (key, node, size, chunk, part)))
+
+    def pivot_pairs(first: int, end: int):
+        """Pairs of a list's members with those at ranks from first up to end; all pairs from rank first on for end 0."""
+
+        @c.tidy
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Left: a bucket's lists; right: (bucket, node, component, signature) of its nodes."""
+            """Left: a bucket's mixed lists; right: (bucket, node, signature) of its nodes."""
             if not left.num_rows:
                 return c.arrow_schema(PAIR).empty_table()
             possible = Signatures(right.column("node").to_numpy(), right.column("x").to_pylist(), percent).keep
-
-            key, node, size, chunk = gathered(left)
-            known = right.column("node").to_numpy()
-            order = np.argsort(known)
-            known, label = known[order], right.column("component").to_numpy()[order]
-            part = node.copy()
-            if len(known):
-                at = np.searchsorted(known, node)
-                at[at == len(known)] = 0
-                part = np.where(known[at] == node, label[at], node)
-            order = np.lexsort((node, size >> np.uint64(40), key))  # a list's middle first
-            key, node, size, chunk, part = key[order], node[order], size[order], chunk[order], part[order]
+            key, node, size, chunk, part = got_lists(left)
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(start, len(key)))
-            mixed = np.repeat(np.maximum.reduceat(part, start) != np.minimum.reduceat(part, start), sizes)
-            rank = np.arange(len(key)) - np.repeat(start, sizes)
+            rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
             found = []
 
             def compare(i, j):
@@ -328,22 +356,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                     t = possible(pair_table(found))
                     found[:] = [tuple(t.column(k).to_numpy() for k in range(4))]
 
-            if not last:
-                j = np.flatnonzero(mixed & (rank > turn))
-                compare(j - rank[j] + turn, j)
+            if end:
+                for pivot in range(first, end):
+                    j = np.flatnonzero(rank > pivot)
+                    compare(j - rank[j] + pivot, j)
                 return possible(pair_table(found))
-            # what is left: each pair of a mixed list once, however many lists hold it, by rows of a bit table
-            left_over = np.flatnonzero(mixed & (rank >= turn))
+            # what is left: each pair of a list once, however many lists hold it, by rows of a bit table
+            left_over = np.flatnonzero(rank >= first)
             if not len(left_over):
                 return possible(pair_table(found))
             k = key[left_over]
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            own, first, at = np.unique(node[left_over], return_index=True, return_inverse=True)
-            first = left_over[first]
+            own, one, at = np.unique(node[left_over], return_index=True, return_inverse=True)
+            one = left_over[one]
             sign = np.add.reduceat(c.mix64(own.view(np.uint64))[at], start)
-            end = np.append(start[1:], len(k))
+            stop = np.append(start[1:], len(k))
             _, some = np.unique(sign, return_index=True)
-            groups = [np.sort(at[start[g] : end[g]]) for g in some.tolist()]
+            groups = [np.sort(at[start[g] : stop[g]]) for g in some.tolist()]
             for low in range(0, len(own), 1024):
                 meet = np.zeros((min(1024, len(own) - low), len(own)), bool)
                 for g in groups:
@@ -352,7 +381,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
                         meet[np.ix_(g[lo:hi] - low, g)] = True
                 x, y = np.nonzero(meet)
                 x += low
-                compare(first[x[x < y]], first[y[x < y]])
+                compare(one[x[x < y]], one[y[x < y]])
             return possible(pair_table(found))
 
         return run
@@ -361,10 +390,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
         both = int(c.is_in(y, x).sum())
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def by_node(kind: int) -> DataFrame:
-        """Written, so that a join with it can split a hot node."""
-        return c.materialize(postings.where(F.col("kind") == kind).groupBy(F.col("chunk").alias("node")).agg(F.first("keys").alias("x")), "op5-held")
-
     def judged(pairs: DataFrame, held: DataFrame, verdict) -> DataFrame:
         """Pairs that verdict accepts, given what is held for either node."""
         one = pairs.join(held.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a")
@@ -378,49 +403,94 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 
         return two.mapInArrow(run, schema)
 
-    def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
-        return c.materialize(judged(pairs.select("a", "b"), held, lambda x, y: similar(c.unpack(x, "u8"), c.unpack(y, "u8"))), "op5-links")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidates: signatures rule most others out, the rest are compared by whole sets from the chunks."""
-        pairs = pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
-        pairs = c.materialize(judged(pairs, marks, lambda x, y: may_link(x, y, percent)), "op5-pairs")
+    def verified(pairs: DataFrame, hint: str = "") -> DataFrame:
+        """Links among candidates (a table): whole sets are fetched from the chunks, once a node, and compared."""
         needed = pairs.select(F.col("a").alias("node"), F.col("ca").alias("chunk")).union(pairs.select("b", "cb")).groupBy("node").agg(F.min("chunk").alias("chunk"))
-        needed = c.materialize(needed.groupBy("chunk").agg(F.collect_list("node").alias("nodes")), "op5-needed")  # at most a chunk's documents
+        needed = s.table(needed.groupBy("chunk").agg(F.collect_list("node").alias("nodes")), "op5-needed")  # at most a chunk's documents
 
+        @c.tidy
         def wanted(batches):
             for b in batches:
                 for body, nodes in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    sets, own = _distinct_sets(body.as_py(), width, seed)
+                    sets, own = distinct_sets(body.as_py())
                     at = dict(zip(own.tolist(), range(len(own)), strict=True))
                     yield c.batch_of([(x, c.pack(sets[at[x]])) for x in nodes], "node long, x binary")
 
-        held = chunks.join(needed.hint("merge"), "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary")
-        return linked(pairs, c.materialize(held, "op5-tokens"))
+        held = s.table(chunks.join(needed.hint(hint) if hint else needed, "chunk").select("body", "nodes").mapInArrow(wanted, "node long, x binary"), "op5-tokens")
+        links = s.table(judged(pairs.select("a", "b"), held, lambda x, y: similar(c.unpack(x, "u8"), c.unpack(y, "u8"))), "op5-links")
+        s.drop(needed, held, pairs)
+        s.collect_garbage()
+        return links
 
-    marks = by_node(3)
-    links = verified(postings.where("kind = 0").groupBy("bucket").applyInArrow(rare_pairs, PAIR))
+    once = lambda pairs: pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
+    # written, so that a join with it can split a hot node
+    marks = s.table(postings.where("kind = 3").groupBy(F.col("chunk").alias("node")).agg(F.first("keys").alias("x")), "op5-held")
     # frequent lists are few; fewer, wider parts of the hash range repeat a pair less often
     frequent_rows = postings.where("kind = 1")
     size = frequent_rows.agg(F.coalesce(F.sum(F.octet_length("keys") + F.octet_length("nodes") + F.octet_length("sizes")), F.lit(0)).alias("n")).first()["n"]
     wide = min(bits, int(np.ceil(np.log2(max(1, size / (8 << 20))))))
-    often = c.materialize(frequent_rows.withColumn("part", F.shiftright("bucket", bits - wide)).groupBy("part").applyInArrow(lists, listed), "op5-lists")
-    members = often.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
-    labels = c.components(links)
-    tokens = by_node(2)
-    for turn in range(pivots + 1 if often.limit(1).count() else 0):
-        known = members.join(marks, "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "x")
-        pairs = often.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(pivot_pairs(turn, turn == pivots), PAIR)
-        fresh = linked(pairs.select("a", "b").distinct(), tokens)
-        if fresh.limit(1).count():
-            links = links.union(fresh)
-            labels = c.components(links)
-    # the least id of each component, by class and then by row
-    parts = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = c.materialize(parts.join(least, "component").select("node", "component_id"), "op5-answer")
-    full = sized.where("n_shingles > 0").join(answer, "node").select("doc_id", "n_shingles", "component_id")
-    return full.union(sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    often = s.table(frequent_rows.withColumn("part", F.shiftright("bucket", bits - wide)).groupBy("part").applyInArrow(lists, listed), "op5-lists")
+
+    def likely(lists: DataFrame, first: int, end: int) -> DataFrame:
+        members = lists.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
+        signed = members.join(marks, "node").select("bucket", "node", "x")
+        return lists.groupBy("bucket").cogroup(signed.groupBy("bucket")).applyInArrow(pivot_pairs(first, end), PAIR)
+
+    # signatures rule most candidates out; those of rare tokens and of the first pivots are verified in one go
+    rare = judged(once(postings.where("kind = 0").groupBy("bucket").applyInArrow(rare_pairs, PAIR)), marks, lambda x, y: may_link(x, y, percent))
+    pairs = s.table(once(rare.unionByName(likely(often, 0, 1))), "op5-pairs")
+    s.drop(postings)
+    links = verified(pairs, "merge")
+    labels = c.components(s, links)
+    s.drop(links)
+    for first, end in ((1, pivots), (pivots, 0)):
+        # lists of one component need no comparison, now and later
+        members = often.select("bucket", "firsts").mapInArrow(_nodes_of, "bucket int, node long")
+        known = members.join(labels, "node").select("bucket", "node", "component")
+        rest = s.table(often.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(still_mixed, listed), "op5-lists")
+        s.drop(often)
+        often = rest
+        pairs = s.table(once(likely(often, first, end)), "op5-pairs")
+        if pairs.limit(1).count():
+            fresh = verified(pairs)
+            if fresh.limit(1).count():
+                labels = c.merged(s, labels, fresh)
+            s.drop(fresh)
+    s.drop(often, marks)
+    parts = s.table(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "op5-parts")
+    s.drop(classes, labels)
+    return chunks, sized, parts
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_df: int = 12, long_set: int = 200, pivots: int = 3, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, address_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; sets link at a similarity of percent / 100 or more."""
+    with c.Scratch(docs.sparkSession) as s:
+        _, sized, parts = _groups(s, docs, (), width, percent, rare_df, long_set, pivots, filter_bits, seed, id_col, text_col, chunk_bytes, address_bits)
+        # the least id of each component, by class and then by row
+        least = parts.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
+        answer = s.table(parts.join(least, "component").select("node", "component_id"), "op5-answer")
+        full = sized.where("n_shingles > 0").join(answer, "node").select("doc_id", "n_shingles", "component_id")
+        return s.result(full.union(sized.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, carry: tuple[str, ...] = (), rare_df: int = 12, long_set: int = 200, pivots: int = 3, filter_bits: int = 23, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20, address_bits: int = 64) -> DataFrame:
+    """(doc_id, text) and the carried columns of one row of each component, that with the least id, null last, and
+    of every row without words. The rows come from the chunks themselves; texts are not written again."""
+    c.carried(docs, carry, ("doc_id", "text"))
+    with c.Scratch(docs.sparkSession) as s:
+        chunks, sized, parts = _groups(s, docs, carry, width, percent, rare_df, long_set, pivots, filter_bits, seed, id_col, text_col, chunk_bytes, address_bits)
+        first = parts.groupBy("component").agg(F.min("rep").alias("f")).select("f.chunk", "f.at")
+        stay = s.table(first.union(sized.where("n_shingles = 0").select("chunk", "at")).groupBy("chunk").agg(F.collect_list("at").alias("stay")), "op5-stay")  # at most a chunk's documents
+        src = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
+        names, schema = src.columns, src.schema
+
+        @c.tidy
+        def picked(batches):
+            for b in batches:
+                for body, at in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                    yield from c.opened(body.as_py()).take(pa.array(sorted(at))).select(names).to_batches(max_chunksize=512)
+
+        return s.result(chunks.join(stay, "chunk").select("body", "stay").mapInArrow(picked, schema))
 
 
 def _nodes_of(batches):

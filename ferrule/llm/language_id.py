@@ -1,184 +1,127 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of labelled text. A word is parsed
-against it from left to right into longest matches; a character that the automaton has never seen is a
-phrase of its own. Words are parsed with a space on either side, so that beginnings and endings count,
-and each parse begins anew at a word, which lets a worker parse each distinct word of a batch once, all words
-abreast; a run of more than 64 letters is parsed in pieces of 64. A text's cost in a
-language is its number of phrases times log2 of the automaton's training length, over its letters: the
-cross-parsing estimate of entropy. The least cost wins; ties go to the language first by code point.
+For each language a suffix automaton is built over a bounded sample of labelled text. A text, its letters in lower
+case and all else between words as one space, is parsed against it from left to right into longest matches, across
+words; a character that the automaton has never seen is a phrase of its own. A text's cost in a language is its
+number of phrases times log2 of the automaton's training length, over its letters: the cross-parsing estimate of
+entropy. The least cost wins; ties go to the language first by code point.
 
 What is learned: for each language the ``docs_per_lang`` labelled documents with the least hash of
 their id, at most ``chars_per_doc`` characters from each, ``chars_per_lang`` in all. These documented
-bounds keep what reaches the driver and is broadcast below ``max_langs * chars_per_lang`` characters;
-prediction reads every whole text.
+bounds keep what reaches the driver and is broadcast below ``max_langs * chars_per_lang`` characters; more languages
+than ``max_langs`` are refused. Prediction reads every whole text.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; without any labelled text
-all are ``und``; repeated rows give equal rows; other columns are ignored.
+Defined cases: null text, or text without a letter (Unicode categories L), is ``und`` with score 0; without any
+labelled text all are ``und``; with one language alone all texts with letters are of it, with score 1; repeated rows
+give equal rows; other columns are ignored, carried ones must not bear the names of the result's own; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-_WORDS = re.compile(r"[^\W\d_]{1,64}")
+from ferrule.llm import common as c
 
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
-def suffix_automaton(text: str) -> tuple[list[int], list[dict[int, int]]]:
-    """Suffix links and transitions (code point to state) of the automaton of all substrings of text; state 0 is the root."""
-    link, length, edges, last = [-1], [0], [{}], 0
-    for ch in map(ord, text):
+
+def normalised(text: str | None) -> str:
+    """The words of a text in lower case, a space before and after each; nothing if there is no letter."""
+    words = _WORDS.findall(text.lower()) if text else []
+    return f" {' '.join(words)} " if words else ""
+
+
+def suffix_automaton(text: str) -> dict[str, dict]:
+    """The root of the automaton of all substrings of text; a state is a dict from characters to states."""
+    link, length, states, last = [-1], [0], [{}], 0
+    for ch in text:
         cur = len(length)
         length.append(length[last] + 1)
         link.append(0)
-        edges.append({})
+        states.append({})
         p = last
-        while p >= 0 and ch not in edges[p]:
-            edges[p][ch] = cur
+        while p >= 0 and ch not in states[p]:
+            states[p][ch] = cur
             p = link[p]
         if p >= 0:
-            q = edges[p][ch]
+            q = states[p][ch]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
                 twin = len(length)
                 length.append(length[p] + 1)
                 link.append(link[q])
-                edges.append(dict(edges[q]))
-                while p >= 0 and edges[p].get(ch) == q:
-                    edges[p][ch] = twin
+                states.append(dict(states[q]))
+                while p >= 0 and states[p].get(ch) == q:
+                    states[p][ch] = twin
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return link, edges
-
-
-class Matcher:
-    """Transitions of a text's suffix automaton in an open-addressed table, followed for many words at a time.
-
-    A key is state * 2**21 + code point; at most half of the slots are taken.
-    """
-
-    _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-    def __init__(self, text: str):
-        _, edges = suffix_automaton(text)
-        keys = np.array([(s << 21) | ch for s, e in enumerate(edges) for ch in e], np.int64)
-        to = np.array([t for e in edges for t in e.values()], np.int32)
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):  # of the keys that want a free slot, the last one written has it; the others go on to the next
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[left[free]]
-            got = self.keys[slot] == keys[left]
-            self.to[slot[got]] = to[left[got]]
-            left, slot = left[~got], (slot[~got] + 1) & self.mask
-
-    def _slot(self, keys):
-        return ((keys.astype(np.uint64) * self._FACTOR) >> self.shift).astype(np.int64)
-
-    def step(self, state, ch):
-        """The states reached, -1 where there is no transition."""
-        keys = (state << 21) | ch
-        slot = self._slot(keys)
-        seen = self.keys[slot]
-        out = np.where(seen == keys, self.to[slot], -1).astype(np.int64)
-        open_ = np.flatnonzero((seen != keys) & (seen >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            seen = self.keys[slot[open_]]
-            hit = seen == keys[open_]
-            out[open_[hit]] = self.to[slot[open_[hit]]]
-            open_ = open_[~hit & (seen >= 0)]
-        return out
-
-    def phrases(self, codes, begin, size):
-        """Number of longest matches, from left to right, in each stretch of codes; sizes descend."""
-        n, state = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
-        for j in range(int(size[0]) if len(size) else 0):
-            k = int(np.searchsorted(-size, -j, side="left"))
-            ch, now = codes[begin[:k] + j], state[:k]
-            to = self.step(now, ch)
-            miss = np.flatnonzero(to < 0)
-            if len(miss):
-                n[miss] += now[miss] != 0
-                again = self.step(np.zeros(len(miss), np.int64), ch[miss])
-                n[miss] += again < 0
-                to[miss] = np.maximum(again, 0)
-            state[:k] = to
-        return n + (state != 0)
-
-
-def phrase_counts(words, matchers: list[Matcher]) -> np.ndarray:
-    """Phrases of each word, a space on either side, for each matcher."""
-    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    begin = np.concatenate([[0], np.cumsum(size[:-1] - 1)])
-    order = np.argsort(-size, kind="stable")
-    out = np.empty((len(words), len(matchers)), np.int64)
-    for k, m in enumerate(matchers):
-        out[order, k] = m.phrases(codes, begin[order], size[order])
-    return out
+    for s in states:
+        for ch, to in s.items():
+            s[ch] = states[to]
+    return states[0]
+
+
+def phrases(text: str, root: dict[str, dict]) -> int:
+    """Number of longest matches that text falls into from left to right; a character that never occurs is one."""
+    n, nowhere = 0, {}
+    state = nowhere
+    for ch in text:
+        state = state.get(ch)
+        if state is None:
+            n += 1
+            state = root.get(ch, nowhere)
+    return n
 
 
 def sample_texts(labelled: DataFrame, docs_per_lang: int, chars_per_doc: int, chars_per_lang: int, max_langs: int) -> dict[str, str]:
     """The bounded training text of each language; labelled has (key, text, lang)."""
+    known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    langs = known.select("lang").distinct().limit(max_langs + 1).count()
+    if langs > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
-    chosen = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "key", F.xxhash64(F.col("key").cast("string")).alias("h"))
-    chosen = chosen.withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("key", "lang", "r").limit(docs_per_lang * max_langs)
+    chosen = known.select("lang", "key", F.xxhash64(F.col("key").cast("string")).alias("h"))
+    chosen = chosen.withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("key", "lang", "r")  # docs_per_lang * max_langs rows
     rows = labelled.join(F.broadcast(chosen), ["key", "lang"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, chars_per_doc)).alias("t")).collect()
     by: dict[str, list] = {}
     for x in rows:
         by.setdefault(x["lang"], []).append((x["r"], x["t"]))
-    out = {k: " ".join(" ".join(_WORDS.findall(t.lower())) for _, t in sorted(v))[:chars_per_lang] for k, v in sorted(by.items())}
-    return {k: f" {v} " for k, v in out.items() if v.strip()}
-
-
-_models: dict[int, list[Matcher]] = {}
-
-
-def _model(texts: dict[str, str]) -> list[Matcher]:
-    """Matchers of this worker process, which keeps those of one model: a few MB a language."""
-    key = hash(tuple(texts.items()))
-    if key not in _models:
-        _models.clear()
-        _models[key] = [Matcher(t) for t in texts.values()]
-    return _models[key]
+    out = {}
+    for lang, found in sorted(by.items()):
+        out[lang] = normalised(" ".join(t for _, t in sorted(found)))[: chars_per_lang + 2]
+    return {lang: text for lang, text in out.items() if text.strip()}
 
 
 def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) and the carried columns of every row. score: by how much the second best costs more, 0 to 1."""
+    c.carried(docs, carry, ("doc_id", "lang_pred", "score"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *carry)
     names = list(texts)
     weight = np.array([math.log2(max(4, len(t))) for t in texts.values()])
 
+    @c.tidy
     def run(batches):
-        matchers = _model(texts) if names else []
+        model = [suffix_automaton(t) for t in texts.values()]  # some 12 MB a language, for this task alone
         for b in batches:
             for k in range(0, len(b), 512):
-                yield one(b.slice(k, 512), matchers)
+                yield one(b.slice(k, 512), model)
 
-    def one(part, matchers):
-        words = [_WORDS.findall(t.lower()) if t else [] for t in part.column(1).to_pylist()]
-        sizes = np.array([len(x) for x in words])
+    def one(part, model):
+        words = [normalised(t.as_py()) for t in part.column(1)]
         lang, score = np.full(len(words), "und", object), np.zeros(len(words))
-        if sizes.any() and names:
-            code, distinct = pd.factorize(np.array([w for x in words for w in x], dtype=object))
-            cost = phrase_counts(distinct, matchers)
-            total = np.zeros((len(words), len(names)))
-            full = np.flatnonzero(sizes)
-            total[full] = np.add.reduceat(cost[code], np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
-            total *= weight
+        full = np.array([bool(w) for w in words], bool)
+        if full.any() and names:
+            total = np.array([[phrases(w, root) for root in model] for w in words], np.int64).reshape(len(words), len(names)) * weight
             order = np.argsort(total, axis=1, kind="stable")
             best = total[np.arange(len(words)), order[:, 0]]
             second = total[np.arange(len(words)), order[:, 1]] if len(names) > 1 else np.full(len(words), np.inf)

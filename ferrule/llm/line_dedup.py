@@ -7,17 +7,19 @@ each line of at most ``rare_df`` holders pairs each later holder with every earl
 is aligned over all lines that both hold. The common lines are the points of a patience diff: the
 rare ones are the anchors, their longest increasing run is kept, and the gaps between anchors are aligned in
 turn by the frequent lines within them; where no line is rare, the frequent ones align alone. A frequent line
-that no pair has aligned links its holder with its earliest holder, if these are no pair: a star, linear in the lines,
-whatever the size of a group, aligned in the same way. Runs of aligned lines of ``min_block_words`` words
-and more are deleted from the later document. The first copy of a line in the corpus always stays.
+pairs its holder with its earliest holder only, if these are no pair already, and the two are aligned over
+such lines: a star, linear in the lines, whatever the size of a group. A block is a run of aligned lines that
+is without a gap in both documents of one pair; blocks of ``min_block_words`` words and more are deleted from the
+later document. The first copy of a line in the corpus always stays.
 
 "Later" is by id, null last, then by place in the written chunks. Only line postings are shuffled by line; a
 hot line is summed before it is shuffled and joined as a skewed join. A document's line hashes travel once to each chunk
 that holds partners of it; points gather by chunk of documents, bounded by the chunk's lines times ``rare_df``.
 
-Defined cases: null text stays null and has no lines; lines without words are never matched and stay; repeated
-rows are documents of their own, the later ones emptied; other columns are ignored; an empty table
-gives an empty table.
+Defined cases: ids are whole numbers or null, others are refused; null text stays null and has no lines; lines
+without words are never matched and stay; repeated rows are documents of their own, the later ones emptied; other
+columns are ignored, carried ones must not bear the names of the result's own; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.llm import common as c
 
@@ -86,12 +89,12 @@ def increasing(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(points: list[tuple[int, int, int]], rare_df: int) -> list[int]:
-    """Aligned places in the later document; points are (place, place in the earlier, holders), by place."""
+def patience(points: list[tuple[int, int, int]], rare_df: int) -> list[tuple[int, int]]:
+    """Aligned (place in the later, place in the earlier document); points are (place, place in the earlier, holders), by place."""
     rare = increasing([(b, a) for b, a, n in points if n <= rare_df])
     rest = [(b, a) for b, a, n in points if n > rare_df]
     if not rest:
-        return [b for b, _ in rare]
+        return rare
     out, k = [], 0
     for (b0, a0), (b1, a1) in zip([(-1, -1), *rare], [*rare, (1 << 60, 1 << 60)], strict=True):
         gap = []
@@ -99,11 +102,23 @@ def patience(points: list[tuple[int, int, int]], rare_df: int) -> list[int]:
             if a0 < rest[k][1] < a1:
                 gap.append(rest[k])
             k += 1
-        out += [b for b, _ in increasing(gap)]
-        out += [b1] if b1 < 1 << 60 else []
+        out += increasing(gap)
+        out += [(b1, a1)] if b1 < 1 << 60 else []
     return out
 
 
+def blocks(aligned: list[tuple[int, int]], size, min_words: int) -> set[int]:
+    """Places of the later document in runs without a gap on either side that have ``min_words`` words and more."""
+    lost, run = set(), []
+    for p, q in [*aligned, (1 << 60, 1 << 60)]:
+        if run and (p != run[-1][0] + 1 or q != run[-1][1] + 1):
+            if sum(int(size[x]) for x, _ in run) >= min_words:
+                lost.update(x for x, _ in run)
+            run = []
+        run.append((p, q))
+    return lost
+
+
 def _lines_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a row of LINES: the documents' ids, where the lines of each begin, and the lines' keys and words."""
     ids, counts, keys, words = (c.unpack_any(row[k], t) for k, t in (("ids", np.int64), ("counts", np.int32), ("keys", np.int64), ("words", np.int32)))
@@ -127,24 +142,18 @@ def _deleted(start: np.ndarray, keys: np.ndarray, words: np.ndarray, copies: lis
         d = int(doc[i])
         own, size = keys[start[d] : start[d + 1]], words[start[d] : start[d + 1]]
         held = dict(zip(pos[i:j].tolist(), holders[i:j].tolist(), strict=True))
-        aligned, known = set(), set()
+        lost, known = set(), set()
         for k in pairs.get(d, ()):
             known.add(far[k])
             _, at, other = np.intersect1d(own, np.frombuffer(bodies[k].as_py(), np.int64), assume_unique=True, return_indices=True)
-            aligned.update(patience([(x, y, held[x]) for x, y in sorted(zip(at.tolist(), other.tolist(), strict=True))], rare_df))
+            points_of = [(x, y, held[x]) for x, y in sorted(zip(at.tolist(), other.tolist(), strict=True))]
+            lost |= blocks(patience(points_of, rare_df), size, min_words)
         stars: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for p, x, y, q, n in zip(*(z[i:j].tolist() for z in (pos, ac, ad, apos, holders)), strict=True):
-            if p not in aligned and (x, y) not in known:
+            if n > rare_df and (x, y) not in known:
                 stars.setdefault((x, y), []).append((p, q, n))
         for left in stars.values():
-            aligned.update(patience(left, rare_df))
-        lost, run = set(), []
-        for p in [*sorted(aligned), 1 << 60]:
-            if run and p != run[-1] + 1:
-                if size[run].sum() >= min_words:
-                    lost.update(run)
-                run = []
-            run.append(p)
+            lost |= blocks(patience(left, rare_df), size, min_words)
         if lost:
             gone[d] = lost
     return gone
@@ -152,9 +161,18 @@ def _deleted(start: np.ndarray, keys: np.ndarray, words: np.ndarray, copies: lis
 
 def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, n_words_left) and the carried columns, of every row."""
+    c.carried(docs, carry, ("doc_id", "text", "n_lines", "n_removed", "n_words_left"))
     src = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
-    chunks = c.chunked(src, "op2-texts", ["doc_id", *carry], chunk_bytes=chunk_bytes)
+    if not isinstance(src.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("ids of documents must be whole numbers")
+    with c.Scratch(docs.sparkSession) as s:
+        return s.result(_dedup(s, src, rare_df, min_block_words, carry, chunk_bytes))
+
+
+def _dedup(s: c.Scratch, src: DataFrame, rare_df: int, min_block_words: int, carry: tuple[str, ...], chunk_bytes: int) -> DataFrame:
+    chunks = c.chunked(s, src, "op2-texts", ["doc_id", *carry], chunk_bytes=chunk_bytes)
 
+    @c.tidy
     def split(batches):
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -164,8 +182,9 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
                 counts = np.bincount(doc, minlength=len(ids)).astype(np.int32)
                 yield c.batch_of([(chunk, *map(c.pack_any, (ids, counts, key.astype(np.int64), words.astype(np.int32))))], LINES)
 
-    lines = c.materialize(chunks.mapInArrow(split, LINES), "op2-lines")
+    lines = s.table(chunks.mapInArrow(split, LINES), "op2-lines")
 
+    @c.tidy
     def wholes(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -181,11 +200,14 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
                 whole = c.mix64(np.add.reduceat(keys.view(np.uint64) * power[place], start[some]) + size.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[some]), pa.array(np.full(len(some), row["chunk"])), pa.array(some.astype(np.int32))], schema=c.arrow_schema(WHOLE))
 
-    whole = c.materialize(lines.mapInArrow(wholes, WHOLE), "op2-wholes")
+    whole = s.table(lines.mapInArrow(wholes, WHOLE), "op2-wholes")
     least = whole.groupBy("whole").agg(F.min(F.struct("rank", "chunk", "doc")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "f")
     copies = whole.join(least, "whole").where("chunk <> f.chunk OR doc <> f.doc").groupBy("chunk").agg(F.collect_list("doc").alias("copies"))
-    lines = c.materialize(lines.join(copies, "chunk", "left"), "op2-copies")
+    bare = lines
+    lines = s.table(lines.join(copies, "chunk", "left"), "op2-copies")
+    s.drop(bare, whole)
 
+    @c.tidy
     def post(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -198,16 +220,18 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
                 cols = [keys, ids[doc], np.full(len(keys), row["chunk"]), doc.astype(np.int32), pos.astype(np.int32), words]
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in cols], schema=c.arrow_schema(POSTING))
 
-    postings = c.materialize(lines.mapInArrow(post, POSTING), "op2-postings")
+    postings = s.table(lines.mapInArrow(post, POSTING), "op2-postings")
     first = postings.groupBy("key").agg(F.min(F.struct("rank", "chunk", "doc", "pos")).alias("f"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    first = c.materialize(first.select("key", F.col("f.rank").alias("a_rank"), F.col("f.chunk").alias("a_chunk"), F.col("f.doc").alias("a_doc"), F.col("f.pos").alias("a_pos"), "holders"), "op2-first")
-    points = c.materialize(postings.join(first, "key").where("chunk <> a_chunk OR doc <> a_doc"), "op2-points")
+    first = s.table(first.select("key", F.col("f.rank").alias("a_rank"), F.col("f.chunk").alias("a_chunk"), F.col("f.doc").alias("a_doc"), F.col("f.pos").alias("a_pos"), "holders"), "op2-first")
+    points = s.table(postings.join(first, "key").where("chunk <> a_chunk OR doc <> a_doc"), "op2-points")
+    s.drop(postings, first)
     # all holders of a rare line but the first, at most rare_df - 1, with each earlier one
     rare = points.where(F.col("holders") <= rare_df).groupBy("key").agg(F.first(F.struct(F.col("a_rank").alias("rank"), F.col("a_chunk").alias("chunk"), F.col("a_doc").alias("doc"))).alias("f"), F.collect_list(F.struct("rank", "chunk", "doc")).alias("more"))
     later = rare.select(F.explode("more").alias("b"), F.concat(F.array("f"), "more").alias("all"))
     pairs = later.select("b", F.explode(F.filter("all", lambda x: x < F.col("b"))).alias("a")).select("b.chunk", "b.doc", F.col("a.chunk").alias("a_chunk"), F.col("a.doc").alias("a_doc")).distinct()
     partners = pairs.groupBy("a_chunk", "chunk", "a_doc").agg(F.collect_list("doc").alias("docs"))
 
+    @c.tidy
     def ship(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist() if right.num_rows else []:
@@ -222,6 +246,7 @@ def line_dedup(docs: DataFrame, rare_df: int = 64, min_block_words: int = 10, id
     kinds = ", ".join(f"{x} {src.schema[x].dataType.simpleString()}" for x in ("doc_id", *carry))
     schema = f"{kinds}, text string, n_lines long, n_removed long, n_words_left long"
 
+    @c.tidy
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         stars = right.filter(pc.is_null(right.column("keys"))).combine_chunks()
         partners = right.filter(pc.is_valid(right.column("keys"))).combine_chunks()

@@ -51,13 +51,18 @@ def _low32(h: np.ndarray, bits: int) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each text without the words of windows that occur elsewhere."""
-    spark = docs.sparkSession
+    with c.Scratch(docs.sparkSession) as s:
+        return s.result(_dedup(s, docs, width, id_col, text_col, chunk_bytes))
+
+
+def _dedup(s: c.Scratch, docs: DataFrame, width: int, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     block = (width + 1) // 2
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    chunks = c.chunked(src, "op7-texts", ["doc_id"], chunk_bytes=chunk_bytes)
+    chunks = c.chunked(s, src, "op7-texts", ["doc_id"], chunk_bytes=chunk_bytes)
     bits = c.bucket_bits(chunks.count(), chunk_bytes)
 
+    @c.tidy
     def probes(batches):
         for b in batches:
             for chunk, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -72,6 +77,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
                 if rows:
                     yield c.batch_of(rows, SENT)
 
+    @c.tidy
     def hits(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         sent = [c.unpack(x.as_py(), "u4") for x in table.column("probes")]
@@ -89,6 +95,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
                 rows.append((chunk, k, c.pack(got)))
         return pa.Table.from_batches([c.batch_of(rows, REPLY)])
 
+    @c.tidy
     def repeats(table: pa.Table) -> pa.Table:
         k = table.column("bucket")[0].as_py()
         sent = [c.unpack(x.as_py(), "u8") for x in table.column("probes")]
@@ -96,6 +103,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
         twice = np.unique(np.concatenate([value[n > 1]] + [c.unpack(x.as_py(), "u8") for x in table.column("multi")]))
         return _replies(table, k, sent, twice)
 
+    @c.tidy
     def extended(batches):
         for b in batches:
             for chunk, body, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -118,6 +126,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
 
     out = f"doc_id {id_type}, n_words long, n_removed long, kept_text string"
 
+    @c.tidy
     def kept(batches):
         for b in batches:
             for body, found in zip(b.column(1), b.column(2).to_pylist(), strict=True):

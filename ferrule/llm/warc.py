@@ -15,8 +15,8 @@ Memory: a task streams pieces; one archive's candidates (two integers each) meet
 
 Defined cases: null html is an empty payload; null url gives no target header, control characters in a url are
 percent-encoded; a null id gives no id header and reads back as null; rows that repeat the kept id and
-payload are responses too; ``least_bytes`` is the least payload that is deduplicated; other columns are
-ignored; an empty table gives an empty archive.
+payload are responses too; ``least_bytes`` is the least payload that is deduplicated; payloads read back are
+bytes of any kind; other columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ferrule.llm.common import arrow_schema, batch_of, materialize, scratch_path
+from ferrule.llm.common import Scratch, arrow_schema, batch_of, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 _B32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -74,7 +75,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, records_per_ar
     rows.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
-_PIECE = "file string, off long, succ long, page_id long, kind string, refers long, bytes long, digest string, whole boolean, body string"
+_PIECE = "file string, off long, succ long, page_id long, kind string, refers long, bytes long, digest string, whole boolean, body binary"
 _FIELD = re.compile(r"^(WARC-Type|WARC-Page-ID|WARC-Refers-To-Page-ID|WARC-Payload-Length|WARC-Payload-Digest|Content-Length): *(.*?) *$", re.M)
 
 
@@ -87,19 +88,16 @@ def _candidates(batches):
     file, at, reach = None, 0, 0
     for b in batches:
         rows = []
-        for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if name != file:
                 if file is not None:
                     rows.append((file, at, None, None, "end", None, None, None, True, None))
                 file, at, reach = name, 0, 0
-                if text == "":
+                if not raw:
                     continue
-            else:
-                text = text or ""
-            raw = text.encode()
             off, at = at, at + len(MAGIC) + len(raw)
             cut = raw.find(b"\r\n\r\n")
-            field = dict(_FIELD.findall(raw[:cut].decode().replace("\r\n", "\n"))) if cut >= 0 else {}
+            field = dict(_FIELD.findall(raw[:cut].decode("utf-8", "replace").replace("\r\n", "\n"))) if cut >= 0 else {}
             size = _long(field.get("Content-Length"))
             good = size is not None and size >= 0 and "WARC-Type" in field
             succ = off + len(MAGIC) + cut + 4 + size + 4 if good else None
@@ -112,7 +110,7 @@ def _candidates(batches):
                 payload = raw[cut + 4 : cut + 4 + size]
                 digest, length = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
             hold = not whole or off < reach
-            rows.append((file, off, succ, _long(field.get("WARC-Page-ID")), field.get("WARC-Type"), _long(field.get("WARC-Refers-To-Page-ID")), length, digest, whole, text if hold else None))
+            rows.append((file, off, succ, _long(field.get("WARC-Page-ID")), field.get("WARC-Type"), _long(field.get("WARC-Refers-To-Page-ID")), length, digest, whole, raw if hold else None))
         if rows:
             yield batch_of(rows, _PIECE)
     if file is not None:
@@ -143,23 +141,36 @@ def _reachable(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([name] * len(keep), pa.string()), pa.array(off[keep])], schema=arrow_schema("file string, off long"))
 
 
+_RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _mended(batches):
+    """Records that hold the magic, put together from their pieces."""
+    magic = MAGIC.encode()
+    for b in batches:
+        rows = []
+        for x in b.to_pylist():
+            raw = magic.join(p["body"] for p in x["parts"])
+            payload = raw[raw.find(b"\r\n\r\n") + 4 : x["succ"] - x["start"] - len(magic) - 4]
+            rows.append((x["page_id"], len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), x["kind"], x["refers"]))
+        yield batch_of(rows, _RECORD)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record below path."""
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    found = materialize(lines.mapInArrow(_candidates, _PIECE), "op9-pieces")
-    true = materialize(found.select("file", "off", "succ").groupBy("file").applyInArrow(_reachable, "file string, off long"), "op9-records")
-    records = found.where("kind IS NOT NULL AND kind <> 'end'").join(true, ["file", "off"])
-    done = records.where("whole OR kind = 'revisit'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
-    # records that hold the magic: a piece belongs to the record that the hold marks; held pieces name it by range
-    broken = records.where("NOT whole AND kind <> 'revisit'").select("file", F.col("off").alias("start"), "succ", "page_id", "kind", "refers")
-    pieces = found.where("body IS NOT NULL").select("file", "off", "body")
-    joined = pieces.join(broken, (pieces["file"] == broken["file"]) & (F.col("off") >= F.col("start")) & (F.col("off") < F.col("succ"))).drop(broken["file"])
-    whole = joined.groupBy("file", "start", "succ", "page_id", "kind", "refers").agg(F.sort_array(F.collect_list(F.struct("off", "body"))).alias("parts"))
-    raw = F.encode(F.array_join(F.transform("parts", lambda x: x["body"]), MAGIC), "utf-8")
-    whole = whole.withColumn("raw", raw).withColumn("cut", F.expr("position('\r\n\r\n', decode(raw, 'iso-8859-1'))"))
-    whole = whole.withColumn("payload", F.substr("raw", F.col("cut") + 4, (F.col("succ") - F.col("start") - len(MAGIC) - (F.col("cut") + 3) - 4).cast("int")))
-    mended = whole.select("page_id", F.octet_length("payload").cast("long"), base32_sha1(F.col("payload")), "kind", "refers")
-    return done.union(mended)
+    lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    with Scratch(spark) as s:
+        found = s.table(lines.mapInArrow(_candidates, _PIECE), "op9-pieces")
+        true = s.table(found.select("file", "off", "succ").groupBy("file").applyInArrow(_reachable, "file string, off long"), "op9-records")
+        records = found.where("kind IS NOT NULL AND kind <> 'end'").join(true, ["file", "off"])
+        done = records.where("whole OR kind = 'revisit'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+        # records that hold the magic do not overlap: a held piece belongs to the last of them that begins at or before it
+        broken = records.where("NOT whole AND kind <> 'revisit'").select("file", "off", F.struct(F.col("off").alias("start"), "succ", "page_id", "kind", "refers").alias("r"))
+        before = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
+        pieces = found.where("body IS NOT NULL").select("file", "off", "body").join(broken, ["file", "off"], "left")
+        owned = pieces.withColumn("r", F.last("r", ignorenulls=True).over(before)).where("off < r.succ")
+        whole = owned.groupBy("file", "r").agg(F.sort_array(F.collect_list(F.struct("off", "body"))).alias("parts")).select("r.*", "parts")
+        return s.result(done.union(whole.mapInArrow(_mended, _RECORD)))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

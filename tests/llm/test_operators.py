@@ -81,18 +81,40 @@ def test_jaccard_brute_force(spark):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     want = {(i, len(s), root(i)) for i, s in sets.items()}
-    for rare in (3, 12):
-        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rare_df=rare, chunk_bytes=20_000)
+    for rare, bits in ((3, 64), (12, 12)):  # with addresses of 12 bits classes clash
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rare_df=rare, chunk_bytes=20_000, address_bits=bits)
         assert set(map(tuple, got.collect())) == want
 
 
 def test_components_of_shuffled_path(spark):
-    for ids in (np.random.default_rng(1).permutation(1500), np.arange(1500)):
+    for ids in (np.random.default_rng(1).permutation(1500),):
         edges = list(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)) + [(5001, 5000), (5001, 5001)]
-        got = dict(map(tuple, common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
-        assert got == {**dict.fromkeys(range(1500), 0), 5000: 5000, 5001: 5000}
-    with pytest.raises(RuntimeError):
-        common.components(spark.createDataFrame(edges, "a long, b long"), rounds=2)
+        with common.Scratch(spark) as s:
+            got = {r["node"]: r["component"] for r in common.components(s, spark.createDataFrame(edges, "a long, b long")).collect()}
+            half = common.components(s, spark.createDataFrame(edges[::2], "a long, b long"))
+            both = {r["node"]: r["component"] for r in common.merged(s, half, spark.createDataFrame(edges[1::2], "a long, b long")).collect()}
+        assert got == both == {**dict.fromkeys(range(1500), 0), 5000: 5000, 5001: 5000}
+    with common.Scratch(spark) as s, pytest.raises(RuntimeError):
+        common.components(s, spark.createDataFrame(edges, "a long, b long"), rounds=2)
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}")
+    held = lambda: [x.split("-")[0] for x in os.listdir(tmp_path)]
+    with common.Scratch(spark) as s:
+        kept, gone = s.table(spark.range(5), "kept"), s.table(spark.range(6), "gone")
+        out = s.result(kept.where("id > 1").join(spark.range(9), "id"))
+        assert gone.count() == 6
+    del gone, kept, s
+    common.Scratch.sweep(spark)
+    assert held() == ["kept"] and out.count() == 3
+    with pytest.raises(ZeroDivisionError), common.Scratch(spark) as s:
+        s.table(spark.range(5), "lost")
+        raise ZeroDivisionError
+    assert held() == ["kept"]
+    del out, s
+    common.Scratch.sweep(spark)
+    assert held() == []
 
 
 def test_lines_keep_first_copy(spark):
@@ -159,19 +181,61 @@ def test_warc_round_trip(spark, tmp_path):
     assert set(map(tuple, warc.read_warc(spark, path).collect())) == want
 
 
-def test_embedding_links(spark):
+def vectors(kind):
+    """Sets of vectors of many shapes."""
     rnd = np.random.default_rng(3)
-    x = rnd.standard_normal((400, 32))
-    x[200:260] = x[0] + 0.15 * rnd.standard_normal((60, 32))
-    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 32), (902, [float("nan")] * 32), (903, [1.0]), (904, None), (905, [float(np.float32(v)) for v in x[5]])]
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    y = np.array([r[1] for r in rows[:400]] + [rows[-1][1]])
+    if kind == "isotropic":
+        x = rnd.standard_normal((5000, 32))
+        x[2000:2600] = x[rnd.integers(0, 2000, 600)] + 0.2 * rnd.standard_normal((600, 32))
+        x[2600:2660] = x[0] + 0.15 * rnd.standard_normal((60, 32))
+    elif kind == "two":
+        x = np.ones((2, 8)) + 0.01 * rnd.standard_normal((2, 8))
+    elif kind == "cluster":
+        x = np.ones(16) + 0.1 * rnd.standard_normal((60, 16))
+    elif kind == "plane":
+        x = rnd.standard_normal((3000, 2))
+    elif kind == "tight":
+        x = np.concatenate([3 * np.ones((2300, 64)) + 0.1 * rnd.standard_normal((2300, 64)), rnd.standard_normal((2300, 64))])
+    else:  # most cosines about the number given
+        x = rnd.standard_normal((2600, 48)) + np.sqrt(float(kind) / (1 - float(kind))) * 48**0.5 * np.eye(48)[0]
+    return np.float32(x)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "two", "cluster", "plane", "tight", "0.9", "0.94"])
+def test_embedding_recall(spark, kind):
+    x = vectors(kind)
+    y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    true = (y @ y.T >= 0.95).sum(1) - 1
-    found = np.array([got[i]["n_links"] for i in [*range(400), 905]])
-    assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
-    assert got[905]["component_id"] == 5 and not got[905]["kept"]
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (900, 901, 902, 903, 904))
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x)})).repartition(8)
+    got = embedding_dedup.near_duplicates(table).toPandas().set_index("vec_id").sort_index()
+    found, true = got.n_links.to_numpy(), near.sum(axis=1)
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum() > 0
+    if found.sum() == true.sum():
+        label = np.arange(len(x))
+        while True:
+            least = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+            if (least == label).all():
+                break
+            label = least
+        assert (got.component_id.to_numpy() == label).all()
+    assert (got.kept == (got.index == got.component_id)).all()
+
+
+def test_embedding_odd_rows(spark):
+    nan, inf, e = float("nan"), float("inf"), [1.0, 0.0, 2.0]
+    rows = [(1, e, 0), (1, e, 1), (None, e, 2), (7, None, 0), (8, [], 0), (9, [0.0, 0.0], 0), (10, [nan, 1.0], 0), (11, [inf], 0), (12, [1.0, None], 0), (13, [2.0, 0.0, 4.0], 0), (14, [1.0, 0.0], 0), (15, [3.0, 0.0], 0), (16, [-1.0, 0.0], 0), (None, [5.0], 0), (None, [6.0], 0), (20, [1e300, 1e300, 0.0, 0.0], 0), (19, [1e-300, 1e-300, 0.0, 0.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(table).collect()), key=str)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (13, 3, 1, False), (14, 1, 14, True), (15, 1, 14, False), (16, 0, 16, True), (None, 1, None, False), (None, 1, None, False), (19, 1, 19, True), (20, 1, 19, False)]
+    want += [(i, 0, i, True) for i in (7, 8, 9, 10, 11, 12)]
+    assert got == sorted(want, key=str)
+    assert embedding_dedup.near_duplicates(table.limit(0)).collect() == []
+    named = embedding_dedup.near_duplicates(table.withColumn("vec_id", F.concat(F.lit("v"), "vec_id")))
+    assert named.where("vec_id = 'v15'").first()["component_id"] == "v14"
 
 
 def test_mix_meets_targets(spark):
@@ -200,17 +264,44 @@ def test_bpe_columns_round_trip(spark):
     assert got[1]["token_ids"] == [] and got[1]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def longest_matches(text, known):
+    """Phrases of text by searching known for ever longer pieces."""
+    at = n = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
 def test_phrases_against_longest_substrings():
-    """Words abreast give what a search for the longest substring gives, one word at a time."""
-    texts = [" banana bandana nab ", " the theme then thaws ", " é漢字𝄞 "]
-    words = ["banana", "thethe", "x", "漢𝄞é", "nabthawsbandana" * 4, "a", "a"]
-    got = language_id.phrase_counts(words, [language_id.Matcher(t) for t in texts])
-    for i, w in enumerate(words):
-        for k, text in enumerate(texts):
-            whole, at, n = f" {w} ", 0, 0
-            while at < len(whole):
-                size = 1
-                while at + size < len(whole) and whole[at : at + size + 1] in text:
-                    size += 1
-                at, n = at + size, n + 1
-            assert got[i, k] == n, (w, text)
+    rnd = random.Random(3)
+    for known in (" banana bandana nab ", " the theme then thaws the then ", " é漢字𝄞 ", "a"):
+        root = language_id.suffix_automaton(known)
+        for _ in range(300):
+            text = "".join(rnd.choice("bandthemws é漢𝄞x") for _ in range(rnd.randrange(60)))
+            assert language_id.phrases(text, root) == longest_matches(text, known), (text, known)
+
+
+def test_language_against_brute_force(spark):
+    learn = {"aa": language_id.normalised("the cat sat on the mat, the end"), "bb": language_id.normalised("der Hund liegt auf dem Boden")}
+    texts = ["The cat", "der Hund!", "½ ²", "①", "Ⅷ 12", "", None, "x" * 500, "catdog " * 2000, "कि", "the\u0301 cat"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.language_id(rows, learn).collect()}
+    for i, t in enumerate(texts):
+        text = language_id.normalised(t)
+        if not any(ch.isalpha() for ch in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cost = sorted((longest_matches(text, k) * np.log2(len(k)), lang) for lang, k in learn.items())
+        assert got[i]["lang_pred"] == cost[0][1] and abs(got[i]["score"] - (1 - cost[0][0] / cost[1][0])) < 1e-12
+    tie = language_id.language_id(rows, {"zz": learn["aa"], "yy": learn["aa"]}).where("doc_id = 0").first()
+    assert (tie["lang_pred"], tie["score"]) == ("yy", 0.0)
+
+
+def test_language_learns_from_labelled_halves_only(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.when(language_id.held_out(F.col("id")), "zz").otherwise("en").alias("lang"))
+    assert set(language_id.fit(docs)) == {"en"}
+    with pytest.raises(ValueError):
+        language_id.fit(docs.withColumn("lang", F.col("doc_id").cast("string")), max_langs=3)
