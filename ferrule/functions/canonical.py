@@ -11,17 +11,34 @@ def _tag(kind: str, text: Column) -> Column:
     return F.to_json(F.array(F.lit(kind), text))
 
 
+def _zeros(n: Column) -> Column:
+    return F.repeat(F.lit("0"), F.greatest(n, F.lit(0)).cast("int"))
+
+
+def _plain(text: Column) -> Column:
+    """Plain digits of a number's text without sign, which may have a point and an exponent."""
+    text = F.regexp_replace(text, r"\.0(?=E|$)", "")
+    whole = F.regexp_extract(text, r"^([0-9]+)", 1)
+    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), _zeros(-point), digits))
+        .when(point >= F.length(digits), F.concat(digits, _zeros(point - F.length(digits))))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), F.greatest(point, F.lit(0))), F.lit("."), F.substr(digits, F.greatest(point, F.lit(0)) + 1)))
+    )
+    bare = F.when(plain.contains("."), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(plain)
+    return F.when(bare.rlike("^0*$"), "0").otherwise(F.regexp_replace(bare, r"^0+(?=[0-9])", ""))
+
+
 def plain_number(c: Column, kind: T.DataType) -> Column:
-    """A number without exponent or trailing zeros; beyond decimal(38) the engine's own text is kept."""
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        wide = c.cast("string").try_cast("decimal(38,18)")
-    elif isinstance(kind, T.DecimalType):
-        wide = c
-    else:
-        return c.cast("string")
-    text = wide.cast("decimal(38,18)" if isinstance(kind, (T.FloatType, T.DoubleType)) else kind).cast("string")
-    bare = F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
-    return F.coalesce(F.when(bare == "-0", "0").otherwise(bare), c.cast("string"))
+    """A number without exponent or trailing zeros, over the whole range of its type; zero has no sign."""
+    text = c.cast("string")
+    if not isinstance(kind, T.FractionalType):
+        return text
+    bare = _plain(F.regexp_replace(text, "^-", ""))
+    signed = F.when(text.startswith("-") & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
+    return F.when(text.rlike("^-?[0-9]"), signed).otherwise(text)
 
 
 def canonical(c: Column, kind: T.DataType, fixed_char: bool = False) -> Column:
@@ -53,6 +70,7 @@ def interval_text(months: Column) -> Column:
 
 
 def record(df: DataFrame, columns: list[str] | None = None, fixed_char: frozenset[str] = frozenset()) -> Column:
-    """A row as one JSON array of canonical values, in column order."""
+    """A row as one JSON array of canonical values, in column order; names fold as Spark folds them."""
+    kinds = {f.name.lower(): f.dataType for f in df.schema}
     names = columns or df.columns
-    return F.concat(F.lit("["), F.concat_ws(",", *(canonical(F.col(n), df.schema[n].dataType, n in fixed_char) for n in names)), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(",", *(canonical(F.col(n), kinds[n.lower()], n in fixed_char) for n in names)), F.lit("]"))

@@ -52,3 +52,15 @@ def parse_key_overrides(text: str) -> dict[str, list[str]]:
             raise ValueError(f"{table.strip()} is named twice")
         out[table.strip()] = keys
     return out
+
+
+def name_parts(name: Column, owner: str = "") -> tuple[Column, Column]:
+    """Owner and object of a name such as owner.table, double quotes taken off; without an owner the one given."""
+    bare = F.regexp_replace(name, '"', "")
+    return F.when(bare.contains("."), F.substring_index(bare, ".", 1)).otherwise(F.lit(owner)), F.substring_index(bare, ".", -1)
+
+
+def override_for(overrides: dict[str, list[str]], owner: str, name: str) -> list[str] | None:
+    """The key override of a table by its owner and name, or by its name alone, in whatever case."""
+    held = {k.lower(): v for k, v in overrides.items()}
+    return held.get(f"{owner}.{name}".lower()) or held.get(name.lower())

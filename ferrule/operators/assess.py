@@ -67,18 +67,9 @@ def objects(cat: dict[str, DataFrame]) -> DataFrame:
     return cat["tables"].join(n, "table_name", "left").join(k, "table_name", "left").select("table_name", F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.coalesce("primary_key", F.lit("")).alias("primary_key"))
 
 
-def fk_tree(spark: SparkSession, foreign: DataFrame) -> DataFrame:
-    """(root, node, depth): tables below each table that is no one's child, by a recursive query."""
-    foreign.select("child", "parent").where("child <> parent").distinct().createOrReplaceTempView("ferrule_fk")
-    return spark.sql("""
-        WITH RECURSIVE tree(root, node, depth) AS (
-          SELECT DISTINCT parent, parent, 0 FROM ferrule_fk WHERE parent NOT IN (SELECT child FROM ferrule_fk)
-          UNION ALL SELECT root, child, depth + 1 FROM tree JOIN ferrule_fk ON parent = node WHERE depth < 32)
-        SELECT root, node, min(depth) AS depth FROM tree GROUP BY root, node""")
-
-
 def phase_progress(results: DataFrame) -> DataFrame:
-    """(phase, total, completed, failed, cancelled, percent) of results (phase, status)."""
+    """(phase, total, completed, failed, cancelled, running, pending, percent) of results (phase, status)."""
     count = lambda s: F.count_if(F.col("status") == s)
     done = count("completed") + count("failed") + count("cancelled")
-    return results.groupBy("phase").agg(F.count(F.lit(1)).alias("total"), count("completed").alias("completed"), count("failed").alias("failed"), count("cancelled").alias("cancelled"), F.round(100 * done / F.count(F.lit(1)), 1).alias("percent"))
+    held = [count(s).alias(s) for s in ("completed", "failed", "cancelled", "running", "pending")]
+    return results.groupBy("phase").agg(F.count(F.lit(1)).alias("total"), *held, F.round(100 * done / F.count(F.lit(1)), 1).alias("percent"))

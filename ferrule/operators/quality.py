@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def null_rate(c: Column) -> Column:
+    """The share of nulls as an aggregate; 0 for an empty table."""
+    return F.coalesce((F.count(F.lit(1)) - F.count(c)) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
+
+
+def suspicious_nulls(df: DataFrame, nullable: list[str], keys: list[str], most: float = 0.30) -> DataFrame:
+    """(column_name, null_rate) of nullable columns outside the key that are null in more than ``most`` of the rows."""
+    names = [c for c in nullable if c.lower() not in {k.lower() for k in keys}]
+    return null_rates(df, names).where(F.col("null_rate") > most) if names else df.sparkSession.createDataFrame([], "column_name string, null_rate double")
+
+
+def first_duplicates(df: DataFrame, primary: list[str], uniques: list[list[str]]) -> tuple[list[str], int]:
+    """The first key, the primary one and then the unique ones, that has repeated values, and how many; nothing and 0 without."""
+    for key in filter(None, [primary, *uniques]):
+        n = duplicate_keys(df.dropna(subset=key), key).count()
+        if n:
+            return key, n
+    return [], 0
+
+
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, null_rate): all columns in one aggregate, rounded to 2 decimals; 0 for an empty table."""
     names = columns or df.columns

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.functions import naming
-from ferrule.operators import assess, changelog, compare, load, quality
-from ferrule.plans.fixtures import CHANGES_SQL, FOREIGN, KEYS, ORDERS_SQL, TABLES, changes, money, orders_source, orders_target, table
+from ferrule.operators import assess, catalog, changelog, compare, load, quality
+from ferrule.plans.fixtures import CHANGES_SQL, FACTS_SQL, FOREIGN, KEYS, ORDERS_SQL, TABLES, changes, facts, money, orders_source, orders_target, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -256,9 +256,10 @@ def fk_pairs(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_FK_SQL}, tree(root, node, depth) AS (SELECT DISTINCT parent, parent, 0 FROM fk WHERE parent NOT IN (SELECT child FROM fk)
-UNION ALL SELECT root, child, depth + 1 FROM tree JOIN (SELECT DISTINCT child, parent FROM fk) ON parent = node WHERE depth < 32) SELECT root, node, min(depth) AS depth FROM tree GROUP BY root, node""")
+UNION ALL SELECT root, child, depth + 1 FROM tree JOIN (SELECT DISTINCT child, parent FROM fk) ON parent = node WHERE depth < 32)
+SELECT root, node, min(depth) AS depth, (SELECT count(DISTINCT child) FROM fk WHERE parent = node) AS n_children FROM tree GROUP BY root, node""")
 def fk_tree(spark, d):
-    return assess.fk_tree(spark, _catalog(spark, d)["foreign_keys"])
+    return catalog.fk_tree(_catalog(spark, d)["foreign_keys"])
 
 
 @query(f"WITH {_TABLE_SQL} SELECT DISTINCT c.table_name, c.column_name FROM information_schema.columns c SEMI JOIN tb USING (table_name) WHERE c.data_type LIKE '%[]'")
@@ -300,16 +301,18 @@ def empty_tables(spark, d):
     return _row_counts(spark, d).unionAll(left).where("n_rows = 0").select("table_name")
 
 
-@query(f"SELECT table_name, CASE WHEN n_rows > 50000000 THEN 'high' WHEN n_rows > 10000000 THEN 'medium' ELSE 'low' END AS pressure FROM ({_ROWS_SQL})")
+@query(f"WITH {FACTS_SQL} SELECT table_name, scale, CASE WHEN bytes * scale > 53687091200 THEN 'high' WHEN bytes * scale > 10737418240 THEN 'medium' WHEN n_rows * scale > 50000000 THEN 'high' WHEN n_rows * scale > 10000000 THEN 'medium' ELSE 'low' END AS pressure FROM facts, (VALUES (1::BIGINT), (1000), (1000000)) v(scale)")
 def load_pressure(spark, d):
-    return _row_counts(spark, d).select("table_name", assess.load_pressure(F.col("n_rows"), F.col("n_rows") * 64).alias("pressure"))
+    """Of the tables as they are, and a thousand and a million times as large."""
+    scaled = facts(spark, d).withColumn("scale", F.explode(F.array(*(F.lit(x).cast("long") for x in (1, 1000, 1_000_000)))))
+    return scaled.select("table_name", "scale", assess.load_pressure(F.col("n_rows") * F.col("scale"), F.col("bytes") * F.col("scale")).alias("pressure"))
 
 
-@query(f"""WITH e AS (SELECT table_name, n_rows * 64 * 8 / 50000000 + greatest(1, floor(n_rows / 2000)) * 0.05 + n_rows * 0.00002 AS x FROM ({_ROWS_SQL}))
+@query(f"""WITH {FACTS_SQL}, e AS (SELECT table_name, bytes::DOUBLE * 8 / 50000000 + greatest(1, floor(n_rows / 2000)) * 0.05::DOUBLE + n_rows * 0.00002::DOUBLE AS x FROM facts)
 SELECT table_name, round(x::DOUBLE, 4) AS seconds, round((x * 0.8)::DOUBLE, 4) AS seconds_low, round((x * 1.6)::DOUBLE, 4) AS seconds_high FROM e""")
 def migration_estimate(spark, d):
-    e = assess.estimate(F.col("n_rows").cast("double"), F.col("n_rows").cast("double") * 64)
-    return _row_counts(spark, d).select("table_name", *(v.alias(k) for k, v in e.items()))
+    e = assess.estimate(F.col("n_rows").cast("double"), F.col("bytes").cast("double"))
+    return facts(spark, d).select("table_name", *(v.alias(k) for k, v in e.items()))
 
 
 @query("SELECT sum(8 + strlen(c_name) + 8 + 8 + strlen(c_mktsegment))::BIGINT AS total_bytes, max(8 + strlen(c_name) + 8 + 8 + strlen(c_mktsegment))::BIGINT AS widest FROM customer")
@@ -331,12 +334,15 @@ def conclusion_score(spark, d):
     return assess.conclusion_score(spark.createDataFrame(_RISKS, "level string, code string, object string"))
 
 
-_RESULTS = [("tables", "completed"), ("tables", "failed"), ("tables", "running"), ("views", "completed"), ("views", "cancelled"), ("sequences", "completed")]
-
-
-@query("""SELECT * FROM (VALUES ('tables', 3::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT, 66.7::DOUBLE), ('views', 2, 1, 0, 1, 100.0), ('sequences', 1, 1, 0, 0, 100.0)) v(phase, total, completed, failed, cancelled, percent)""")
+@query("""WITH r AS (SELECT 'p' || (event_id % 4) AS phase, event_type AS status FROM events) SELECT phase, count(*) AS total, count(*) FILTER (status = 'view') AS completed, count(*) FILTER (status = 'error') AS failed,
+count(*) FILTER (status = 'signup') AS cancelled, count(*) FILTER (status = 'click') AS running, count(*) FILTER (status = 'purchase') AS pending, round(100.0::DOUBLE * count(*) FILTER (status IN ('view', 'error', 'signup')) / count(*), 1) AS percent FROM r GROUP BY phase""")
 def phase_progress(spark, d):
-    return assess.phase_progress(spark.createDataFrame(_RESULTS, "phase string, status string"))
+    """Progress of results whose statuses stand for the types of events."""
+    e = table(spark, d, "events")
+    status = F.lit(None).cast("string")
+    for kind, name in (("view", "completed"), ("error", "failed"), ("signup", "cancelled"), ("click", "running"), ("purchase", "pending")):
+        status = F.when(F.col("event_type") == kind, name).otherwise(status)
+    return assess.phase_progress(e.select(F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("phase"), status.alias("status")))
 
 
 # ---------------------------------------------------------------- change log
@@ -344,7 +350,7 @@ def phase_progress(spark, d):
 _C = f"WITH {CHANGES_SQL}"
 
 
-@query(f"{_C} SELECT operation, count(*) AS n_events FROM changes GROUP BY operation")
+@query(f"{_C} SELECT operation, count(*) AS n_events FROM changes GROUP BY operation UNION ALL SELECT 'total', count(*) FROM changes")
 def event_breakdown(spark, d):
     return changelog.breakdown(changes(spark, d))
 
@@ -443,3 +449,6 @@ def page(spark, d):
 @query("SELECT s_suppkey, regexp_extract(lower(s_name), '^[^0-9]*') || lpad(regexp_extract(s_name, '[0-9]+'), 12, '0') AS sort_key FROM supplier")
 def natural_sort(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", naming.natural_key(F.col("s_name")).alias("sort_key"))
+
+
+from ferrule.plans import extended  # noqa: E402, F401  registers its queries

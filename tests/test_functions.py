@@ -111,3 +111,135 @@ def test_stream_is_idempotent(spark, tmp_path):
         replica.follow(spark.readStream.schema(kind).parquet(str(tmp_path / "log")), str(tmp_path / turn)).awaitTermination()
         assert [tuple(r) for r in replica.snapshot().collect()] == [(2, "c")]
     assert replica.version() == 0
+
+
+@pytest.mark.parametrize("value", [1e-19, 2e-19, 1.2345678901234567e-5, 1.2345678901234571e-5, 1e25, 1.7976931348623157e308, 2.5e-300, 0.1, -123.456, 100.0, 1e7, 12345678.9, -0.0, 1 / 7])
+def test_canonical_doubles_over_the_whole_range(spark, value):
+    from decimal import Decimal
+
+    want = format(Decimal(repr(value)).normalize(), "f") if value else "0"
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(canonical.plain_number(F.col("v"), df.schema["v"].dataType)).first()[0] == want
+
+
+def test_columns_fold_and_repeated_keys_are_refused(spark):
+    a, b = spark.createDataFrame([(1, 1e-19)], "k int, v double"), spark.createDataFrame([(1, 2e-19)], "K int, V double")
+    diff = compare.key_diff(a, b, ["k"])
+    assert diff.first()["diff_class"] == "changed"
+    cell = compare.samples(diff, ["k"]).first()["columns"][0]
+    assert (cell["column"], cell["source"]) == ("v", '["number","0.0000000000000000001"]')
+    with pytest.raises(ValueError):
+        compare.key_diff(a.union(a), b, ["k"], check=True)
+
+
+def test_keys_for_comparison():
+    cols = [("a", False), ("b", True), ("c", False, "CLOB")]
+    assert compare.comparison_key(cols, ["a"], [], ["c"]) == ("primary", ["a"])
+    assert compare.comparison_key(cols, [], [["b"], ["c"], ["a"]], ["b"]) == ("unique", ["c"])
+    assert compare.comparison_key(cols, ["a"], [], is_view=True) == ("none", [])
+    assert compare.choose_key(cols, [], [], allow_all=True) == ("all_columns", ["a", "b"])
+
+
+E_KIND = "commit_scn long, xid long, key long, old_key long, scn long, operation string, v string"
+
+
+def test_chains_of_key_changes_fold(spark):
+    rows = [(9, 1, 1, None, 1, "insert", "a"), (9, 1, 2, 1, 2, "update", "b"), (9, 1, 2, None, 3, "update", "c"), (9, 1, 5, None, 4, "update", "x"), (9, 1, 2, None, 5, "delete", None), (9, 1, 2, None, 6, "insert", "d")]
+    got = sorted((r["scn"], r["operation"], r["key"], r["v"]) for r in changelog.coalesce_chains(spark.createDataFrame(rows, E_KIND), E_KIND).collect())
+    assert got == [(1, "insert", 2, "c"), (4, "update", 5, "x"), (5, "delete", 2, None), (6, "insert", 2, "d")]
+
+
+def test_late_events_and_guards(spark):
+    state = changelog.versioned(spark.createDataFrame([(1, "old")], "id long, v string"), "id", ["v"])
+    put = lambda *rows: spark.createDataFrame(rows, E_KIND)
+    state = changelog.merge_events(state, put((10, 2, 1, None, 10, "update", "new"), (10, 2, 3, None, 11, "delete", None)), "id", ["v"])
+    state = changelog.merge_events(state, put((5, 1, 1, None, 5, "update", "late"), (5, 1, 3, None, 6, "insert", "late"), (5, 1, 4, None, 7, "lob", "part")), "id", ["v"])
+    assert [tuple(r) for r in changelog.visible(state, "id", ["v"]).collect()] == [(1, "new")]
+    with pytest.raises(Exception, match="unsupported operation ddl"):
+        changelog.merge_events(state, put((20, 3, 1, None, 20, "ddl", None)), "id", ["v"]).collect()
+    with pytest.raises(Exception, match="more than once"):
+        changelog.merge_events(state.union(state), put((20, 3, 1, None, 20, "delete", None)), "id", ["v"]).collect()
+    assert changelog.start_scn(50, None) == 50 and changelog.start_scn(50, 20) == 19 and changelog.start_scn(50, 0) == 1
+    files = spark.createDataFrame([("a", 10, 20)], "name string, first_change long, next_change long")
+    changelog.check_start(files, 15, 30)
+    for start in (5, 40):
+        with pytest.raises(ValueError):
+            changelog.check_start(files, start, 30)
+    assert changelog.lag(90, 70, 80) == {"lag": 20, "phase": "catching_up"}
+
+
+def test_replica_takes_late_batches_and_retires_versions(spark, tmp_path):
+    put = lambda *rows: spark.createDataFrame(rows, E_KIND)
+    replica = Replica(spark, str(tmp_path / "r"), "id", ["v"], "id long, v string", buckets=4, keep=2)
+    replica.apply(put((10, 2, 1, None, 10, "insert", "new"), (10, 2, 7, None, 11, "insert", "x")))
+    replica.apply(put((5, 1, 1, None, 5, "insert", "late"), (5, 1, 8, 7, 6, "update", "early")))
+    replica.apply(put((12, 3, 9, 7, 12, "update", "moved")))
+    replica.apply(put((12, 3, 9, 7, 12, "update", "again")))
+    assert sorted(map(tuple, replica.snapshot().collect())) == [(1, "new"), (8, "early"), (9, "moved")]
+    assert (replica.version(), replica.checkpoint()) == (2, 12)
+
+
+def test_statements():
+    from datetime import datetime
+
+    from ferrule.functions import redo
+
+    sql = """update "A"."T" set "CODE" = 'NEW', "N" = UNISTR('\\4F60\\D83D\\DE00') where "CODE" = 'it''s and' and "GONE" IS NULL and "B" = HEXTORAW('0aff')"""
+    assert redo.statement(sql) == {"old": {"CODE": "it's and", "GONE": None, "B": "0AFF"}, "new": {"CODE": "NEW", "N": "你😀"}}
+    assert redo.old_key(sql, ["code", "gone"]) == {"code": "it's and", "gone": None} and redo.new_key(sql, ["code"]) == {"code": "NEW"}
+    assert redo.old_key(sql, ["ID"]) is None and redo.statement(None) == {"old": {}, "new": {}}
+    sql = """insert into "A"."T"("ID","D","X") values (12.50, TO_DATE('02-MAR-26', 'DD-MON-RR'), f('a,b', g(1,2)));"""
+    assert redo.statement(sql)["new"] == {"ID": "12.5", "D": "02-MAR-26", "X": "f('a,b', g(1,2))"}
+    assert redo.coerced("02-MAR-26") == datetime(2026, 3, 2) and redo.coerced("26-AUG-50 09.01.01 PM") == datetime(1950, 8, 26, 21, 1, 1)
+    assert redo.coerced("2024-01-02T03:04:05") == datetime(2024, 1, 2, 3, 4, 5) and redo.coerced("free text") == "free text"
+
+
+def test_layouts():
+    from ferrule.operators import partitioning as p
+
+    both = p.Layout("RANGE", ("ID",), (("P1", "100"), ("P2", "MAXVALUE")), "HASH", ("REGION",), 4)
+    text, warnings = p.clause(both, {"ID": "BIGINT", "REGION": "VARCHAR(10)"})
+    assert text.startswith("PARTITION BY RANGE (`ID`) SUBPARTITION BY KEY (`REGION`) SUBPARTITIONS 4 (PARTITION `P1` VALUES LESS THAN (100)") and warnings
+    grows = p.Layout("RANGE", ("D",), (("P1", "TO_DATE(' 2024-01-01 00:00:00', 'SYYYY-MM-DD HH24:MI:SS')"),), interval=True)
+    text, warnings = p.clause(grows, {"D": "DATETIME(6)"})
+    assert text == "PARTITION BY RANGE COLUMNS (`D`) (PARTITION `P1` VALUES LESS THAN ('2024-01-01'), PARTITION `p_max` VALUES LESS THAN (MAXVALUE))" and warnings
+    assert p.clause(p.Layout("HASH", ("ID",), count=4), {"ID": "NUMERIC(38,0)"})[1][0].endswith("can be a partition key")
+    assert p.clause(p.Layout("LIST", ("R",), (("P1", "'a', 'b,c', NULL"),)), {"R": "VARCHAR(9)"})[0] == "PARTITION BY LIST COLUMNS (`R`) (PARTITION `P1` VALUES IN ('a', 'b,c', NULL))"
+    ddl, warnings = p.create_table("t", [("ID", "NUMERIC(12,0)", False), ("R", "INT", True)], ["R"], p.Layout("HASH", ("ID",), count=4))
+    assert "PARTITION" not in ddl and "`ID` BIGINT NOT NULL" in ddl and warnings == ["primary key lacks partition column ID"]
+    with pytest.raises(ValueError):
+        p.create_table("t", [("R", "VARCHAR(9)", True)], [], p.Layout("LIST", ("R",), (("P1", "DEFAULT"),)))
+    assert p.bound("sysdate") is None and p.label(p.Layout("RANGE", ("a",), sub_kind="NONE")) == "RANGE"
+    assert "START WITH 9223372036854775807" in p.sequence_ddl("s", 10**30) and "NOCYCLE NOCACHE" in p.sequence_ddl("s", 1)
+
+
+def test_fk_tree_with_cycles(spark):
+    from ferrule.operators import catalog
+
+    tree = lambda edges: sorted(map(tuple, catalog.fk_tree(spark.createDataFrame(edges, "parent string, child string")).collect()))
+    assert tree([("a", "b"), ("b", "c"), ("b", "b")]) == [("a", "a", 0, 1), ("a", "b", 1, 1), ("a", "c", 2, 0)]
+    assert tree([("x", "y"), ("y", "x")]) == [("x", "x", 0, 1), ("x", "y", 1, 1)]
+
+
+def test_report_and_history(spark, tmp_path):
+    from ferrule.operators import report, validate
+
+    page = report.html_report("T <1>", {"risks": spark.createDataFrame([("<b>", None)], "a string, b string"), "summary": spark.range(3)})
+    assert "T &lt;1&gt;" in page and "&lt;b&gt;" in page and page.index("summary") < page.index("risks")
+    notes = []
+    assert report.defended({"a": lambda: 1, "b": lambda: 1 / 0}, notes) == {"a": 1, "b": None} and notes[0][0] == "b"
+    one = spark.range(1).select(F.lit("t").alias("requested"), F.lit(True).alias("passed"))
+    history = validate.History(spark, str(tmp_path / "h"))
+    history.add("r1", "j", one)
+    history.add("r2", "j", one.union(one.withColumn("passed", F.lit(False))))
+    assert {(r["run_id"], r["tables"], r["passed"]) for r in history.runs().collect()} == {("r1", 1, True), ("r2", 2, False)}
+    with pytest.raises(ValueError):
+        validate.validate(spark, [], content="structure_only")
+
+
+def test_null_checks(spark):
+    from ferrule.operators import quality
+
+    df = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "x", 2)], "id int, v string, u int")
+    assert [r["column_name"] for r in quality.suspicious_nulls(df, ["id", "v"], ["id"]).collect()] == ["v"]
+    assert quality.first_duplicates(df, ["id"], [["u"]]) == (["u"], 1) and quality.first_duplicates(df, ["id"], []) == ([], 0)
