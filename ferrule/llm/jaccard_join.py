@@ -490,7 +490,7 @@ def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80, carry
                 for body, at in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                     yield from c.opened(body.as_py()).take(pa.array(sorted(at))).select(names).to_batches(max_chunksize=512)
 
-        return s.result(chunks.join(stay, "chunk").select("body", "stay").mapInArrow(picked, schema))
+        return s.result(chunks.join(stay.hint("merge"), "chunk").select("body", "stay").mapInArrow(picked, schema))
 
 
 def _nodes_of(batches):
