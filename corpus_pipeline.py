@@ -71,7 +71,7 @@ STAGES = [
     ("tokenize", tokenize),
 ]
 
-#: Suffix automata, patience diff and the tokenizer are beyond SQL; the tests have a plain Python version of all stages.
+#: Suffix automata, patience diff and the tokenizer are beyond SQL; the tests run the stages one by one and compare.
 ORACLE_SQL = None
 
 
