@@ -15,20 +15,32 @@ def _zeros(n: Column) -> Column:
     return F.repeat(F.lit("0"), F.greatest(n, F.lit(0)).cast("int"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _plain(text: Column) -> Column:
     """Plain digits of a number's text without sign, which may have a point and an exponent."""
-    text = F.regexp_replace(text, r"\.0(?=E|$)", "")
-    whole = F.regexp_extract(text, r"^([0-9]+)", 1)
-    part = F.regexp_extract(text, r"\.([0-9]+)", 1)
-    power = F.coalesce(F.regexp_extract(text, r"E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits, point = F.concat(whole, part), F.length(whole) + power
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), _zeros(-point), digits))
-        .when(point >= F.length(digits), F.concat(digits, _zeros(point - F.length(digits))))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), F.greatest(point, F.lit(0))), F.lit("."), F.substr(digits, F.greatest(point, F.lit(0)) + 1)))
-    )
-    bare = F.when(plain.contains("."), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(plain)
-    return F.when(bare.rlike("^0*$"), "0").otherwise(F.regexp_replace(bare, r"^0+(?=[0-9])", ""))
+
+    def parts(t: Column) -> Column:
+        whole = F.regexp_extract(t, r"^([0-9]+)", 1)
+        power = F.coalesce(F.regexp_extract(t, r"E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        return F.struct(F.concat(whole, F.regexp_extract(t, r"\.([0-9]+)", 1)).alias("d"), (F.length(whole) + power).alias("p"))
+
+    def laid(x: Column) -> Column:
+        digits, point = x["d"], x["p"]
+        inside = F.greatest(point, F.lit(0))
+        return (
+            F.when(point <= 0, F.concat(F.lit("0."), _zeros(-point), digits))
+            .when(point >= F.length(digits), F.concat(digits, _zeros(point - F.length(digits))))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), inside), F.lit("."), F.substr(digits, inside + 1)))
+        )
+
+    bare = lambda x: F.when(x.contains("."), F.rtrim(F.rtrim(x, F.lit("0")), F.lit("."))).otherwise(x)
+    done = lambda x: F.when(x.rlike("^0*$"), "0").otherwise(F.regexp_replace(x, r"^0+(?=[0-9])", ""))
+    short = F.regexp_replace(text, r"\.0(?=E|$)", "")
+    return _let(_let(_let(_let(short, parts), laid), bare), done)
 
 
 def plain_number(c: Column, kind: T.DataType) -> Column:
@@ -36,9 +48,8 @@ def plain_number(c: Column, kind: T.DataType) -> Column:
     text = c.cast("string")
     if not isinstance(kind, T.FractionalType):
         return text
-    bare = _plain(F.regexp_replace(text, "^-", ""))
-    signed = F.when(text.startswith("-") & (bare != "0"), F.concat(F.lit("-"), bare)).otherwise(bare)
-    return F.when(text.rlike("^-?[0-9]"), signed).otherwise(text)
+    signed = lambda b: F.when(text.startswith("-") & (b != "0"), F.concat(F.lit("-"), b)).otherwise(b)
+    return F.when(text.rlike("^-?[0-9]"), _let(_plain(F.regexp_replace(text, "^-", "")), signed)).otherwise(text)
 
 
 def canonical(c: Column, kind: T.DataType, fixed_char: bool = False) -> Column:
