@@ -451,4 +451,4 @@ def natural_sort(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", naming.natural_key(F.col("s_name")).alias("sort_key"))
 
 
-from ferrule.plans import extended  # noqa: E402, F401  registers its queries
+from ferrule.plans import extended, running  # noqa: E402, F401  register their queries
