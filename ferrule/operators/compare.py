@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import hashlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,13 +120,48 @@ def fingerprint(df: DataFrame, text: Column | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("hash_sum"))
 
 
-def ordered_digest(df: DataFrame, keys: list[str], text: Column | None = None, most: int = 100_000) -> DataFrame:
-    """(digest): SHA-256 over length-prefixed records in key order; for tables of ``most`` rows at most."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; use fingerprint")
-    rec = record(df) if text is None else text  # bounded by ``most`` records in one task
-    rows = F.array_sort(F.collect_list(F.struct(*keys, F.concat(F.lpad(F.octet_length(rec).cast("string"), 8, "0"), rec).alias("rec"))))
-    return df.agg(F.sha2(F.array_join(F.transform(rows, lambda x: x["rec"]), "|"), 256).alias("digest"))
+def ordered_digest(df: DataFrame, keys: list[str], text: Column | None = None, piece_bytes: int = 1 << 16) -> DataFrame:
+    """(digest): SHA-256 over length-prefixed records in key order, of any number of rows; null texts are left out.
+
+    Records are sorted by ranges and joined into pieces where they lie; one task, as SHA-256 goes from start to end, takes
+    the pieces in order and holds few of them at a time.
+    """
+    rec = record(df) if text is None else text
+    named = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    rows = df.select(*named, F.concat(F.lpad(F.octet_length(rec).cast("string"), 8, "0"), rec).alias("rec")).where("rec IS NOT NULL")
+    rows = rows.orderBy(*(f"_{i}" for i in range(len(keys))), "rec").select(F.col("rec").cast("binary").alias("rec"))
+
+    def join(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for piece in _pieces(b.column(0), piece_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([b"|".join(piece.to_pylist())], pa.binary())], ["part", "n", "piece"])
+                n += 1
+
+    def digest(batches):
+        h, between = hashlib.sha256(), b""
+        for b in batches:
+            for piece in b.column(0):
+                h.update(between)
+                h.update(piece.as_buffer())
+                between = b"|"
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()], pa.string())], ["digest"])
+
+    pieces = rows.mapInArrow(join, "part int, n long, piece binary").repartition(1).sortWithinPartitions("part", "n")
+    found = pieces.select("piece").mapInArrow(digest, "digest string")
+    return found.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"))  # no partition, no row
+
+
+def _pieces(texts: pa.Array, size: int):
+    """Slices of texts in order, of size bytes each at most; a longer text is one by itself."""
+    start = taken = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if i > start and taken + n > size:
+            yield texts.slice(start, i - start)
+            start, taken = i, 0
+        taken += n
+    if len(texts) > start:
+        yield texts.slice(start)
 
 
 def multiset_diff(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def validate_table(pair: Pair, policy: str = "preserve", most: int = MAX_ROWS, n
         out |= {"key_kind": kind, "key_columns": keys, "source_rows": rows["source"], "target_rows": rows["target"], "counts_match": rows["source"] == rows["target"]}
         mode = out["hash_mode"] = hash_mode(kind, rows["source"], rows["target"], most, beyond)
         if mode != "count_only":
-            digest = (lambda df: compare.ordered_digest(df, keys, most=most).first()[0]) if mode == "full" else (lambda df: "-".join(map(str, compare.fingerprint(df).first())))
+            digest = (lambda df: compare.ordered_digest(df, keys).first()[0]) if mode == "full" else (lambda df: "-".join(map(str, compare.fingerprint(df).first())))
             out["source_hash"], out["target_hash"] = digest(pair.source), digest(target)
             out["hashes_match"] = out["source_hash"] == out["target_hash"]
             if kind != "none" and not out["hashes_match"]:

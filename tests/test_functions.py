@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,14 @@ def test_null_checks(spark):
     df = spark.createDataFrame([(1, None, 1), (2, None, 1), (3, "x", 2)], "id int, v string, u int")
     assert [r["column_name"] for r in quality.suspicious_nulls(df, ["id", "v"], ["id"]).collect()] == ["v"]
     assert quality.first_duplicates(df, ["id"], [["u"]]) == (["u"], 1) and quality.first_duplicates(df, ["id"], []) == ([], 0)
+
+
+def test_ordered_digest_of_many_rows_in_pieces(spark):
+    many = spark.range(100_003).select((100_002 - F.col("id")).alias("k"), F.concat(F.lit("é|"), (F.col("id") % 1000).cast("string")).alias("t"))
+    texts = [f"é|{(100_002 - k) % 1000}".encode() for k in range(100_003)]
+    want = lambda ts: hashlib.sha256(b"|".join(b"%08d" % len(t) + t for t in ts)).hexdigest()
+    for size in (1 << 16, 100):
+        assert [r["digest"] for r in compare.ordered_digest(many, ["k"], F.col("t"), piece_bytes=size).collect()] == [want(texts)]
+    ties = spark.createDataFrame([(1, "b"), (None, "z"), (1, None), (1, "a"), (0, ""), (1, "a")], "k int, t string")
+    assert compare.ordered_digest(ties, ["k"], F.col("t"), piece_bytes=1).first()["digest"] == want([b"z", b"", b"a", b"a", b"b"])
+    assert [r["digest"] for r in compare.ordered_digest(ties.where("k > 1"), ["k"], F.col("t")).collect()] == [want([])]
