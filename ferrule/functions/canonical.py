@@ -8,7 +8,13 @@ from pyspark.sql import types as T
 
 
 def _tag(kind: str, text: Column) -> Column:
-    return F.to_json(F.array(F.lit(kind), text))
+    """[kind, text] as JSON; the text needs no escapes."""
+    return F.concat(F.lit(f'["{kind}","'), text, F.lit('"]'))
+
+
+def _tag_any(kind: str, text: Column) -> Column:
+    """[kind, text] as JSON; only a text that is not plain ASCII goes through the JSON writer."""
+    return F.when(text.rlike(r"[^ !#-\[\]-~]"), F.to_json(F.array(F.lit(kind), text))).otherwise(_tag(kind, text))
 
 
 def _zeros(n: Column) -> Column:
@@ -48,6 +54,25 @@ def plain_number(c: Column, kind: T.DataType) -> Column:
     text = c.cast("string")
     if not isinstance(kind, T.FractionalType):
         return text
+    if isinstance(kind, T.DecimalType):
+        bare = F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+        return bare if kind.scale <= 6 else F.when(text.contains("E"), _any_number(text)).otherwise(bare)
+    whole = (F.abs(c) < (1 << 24 if isinstance(kind, T.FloatType) else 10**15)) & (c == F.rint(c))  # all digits of these are exact
+    laid = (F.abs(c) >= 1e-3) & (F.abs(c) < 1e7)  # these have no exponent
+    return F.when(whole, c.cast("long").cast("string")).when(laid, text).when(text.contains("E"), _let(text, _moved)).otherwise(text)
+
+
+def _moved(text: Column) -> Column:
+    """Plain digits of a text such as -1.25E-7: one digit, not 0, before the point, and no zeros at the end but in .0."""
+    power = F.substring_index(text, "E", -1).cast("int")
+    digits = F.concat(F.repeat(F.lit("0"), -power), F.regexp_replace(text, r"(\.0)?E.*|[-.]", ""))
+    point = F.greatest(power, F.lit(0)) + 1
+    after = F.regexp_replace(F.substr(digits, point + 1), "^(?=.)", ".")
+    return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.rpad(digits, point, F.lit("0")), after)  # rpad cuts, too
+
+
+def _any_number(text: Column) -> Column:
+    """Plain digits of any number's text, with its sign; other texts, such as NaN, as they are."""
     signed = lambda b: F.when(text.startswith("-") & (b != "0"), F.concat(F.lit("-"), b)).otherwise(b)
     return F.when(text.rlike("^-?[0-9]"), _let(_plain(F.regexp_replace(text, "^-", "")), signed)).otherwise(text)
 
@@ -61,16 +86,15 @@ def canonical(c: Column, kind: T.DataType, fixed_char: bool = False) -> Column:
     elif isinstance(kind, T.NumericType):
         out = _tag("number", plain_number(c, kind))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(c, "SSSSSS")
-        out = _tag("datetime", F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros)))
+        text = c.cast("string")  # its fraction has no trailing zeros
+        out = _tag("datetime", F.when(text.contains("."), F.rpad(text, F.instr(text, ".") + 6, F.lit("0"))).otherwise(text))
     elif isinstance(kind, T.DateType):
         out = _tag("datetime", F.date_format(c, "yyyy-MM-dd"))
     elif isinstance(kind, T.YearMonthIntervalType):
         out = _tag("text", interval_text(F.extract(F.lit("year"), c).cast("int") * 12 + F.extract(F.lit("month"), c).cast("int")))
     else:
         text = c.cast("string") if isinstance(kind, T.StringType) else F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
-        out = _tag("text", F.rtrim(text) if fixed_char else text)
+        out = _tag_any("text", F.rtrim(text) if fixed_char else text)
     return F.when(c.isNull(), '["null"]').otherwise(out)
 
 

@@ -77,10 +77,13 @@ def validate_table(pair: Pair, policy: str = "preserve", most: int = MAX_ROWS, n
             out["source_hash"], out["target_hash"] = digest(pair.source), digest(target)
             out["hashes_match"] = out["source_hash"] == out["target_hash"]
             if kind != "none" and not out["hashes_match"]:
-                diff = compare.key_diff(pair.source, target, keys, check=True)
-                out["difference_rows"] = diff.where("diff_class <> 'equal'").count()
-                out["column_differences"] = {r["column_name"]: r["differing_rows"] for r in compare.diff_columns(diff).collect()}  # a row a column
-                out["samples"] = [r.asDict(True) for r in compare.samples(diff, keys, n_samples).drop(*keys).collect()]
+                diff = compare.key_diff(pair.source, target, keys, check=True).where("diff_class <> 'equal'").persist()  # one join for all three
+                try:
+                    out["difference_rows"] = diff.count()
+                    out["column_differences"] = {r["column_name"]: r["differing_rows"] for r in compare.diff_columns(diff).collect()}  # a row a column
+                    out["samples"] = [r.asDict(True) for r in compare.samples(diff, keys, n_samples).drop(*keys).collect()]
+                finally:
+                    diff.unpersist()
             elif out["hashes_match"]:
                 out["difference_rows"] = 0
         out["passed"] = verdict(out["counts_match"], out["name_matches"], mode, out.get("hashes_match"))

@@ -1,11 +1,14 @@
 import hashlib
+import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.functions import canonical, naming
 from ferrule.functions.portable import SourceType, portable_type, target_schema
-from ferrule.operators import changelog, compare, load
+from ferrule.operators import changelog, compare, load, validate
 from ferrule.sources.changelog_source import next_offset
 from ferrule.streaming.replicate import Replica
 
@@ -256,3 +259,36 @@ def test_ordered_digest_of_many_rows_in_pieces(spark):
     ties = spark.createDataFrame([(1, "b"), (None, "z"), (1, None), (1, "a"), (0, ""), (1, "a")], "k int, t string")
     assert compare.ordered_digest(ties, ["k"], F.col("t"), piece_bytes=1).first()["digest"] == want([b"z", b"", b"a", b"a", b"b"])
     assert [r["digest"] for r in compare.ordered_digest(ties.where("k > 1"), ["k"], F.col("t")).collect()] == [want([])]
+
+
+def test_fingerprint_hashes_each_row_once(spark):
+    df = spark.range(10).select("id", (F.col("id") / 4).alias("v"))
+    plan = compare.fingerprint(df)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan and not any("sha2" in line for line in plan.splitlines() if "Aggregate" in line)
+    hashes = [int(hashlib.sha256(f'[["number","{i}"],["number","{(str(i / 4)).removesuffix(".0")}"]]'.encode()).hexdigest()[:15], 16) for i in range(10)]
+    assert tuple(compare.fingerprint(df).first()) == (10, str(sum(hashes)))
+
+
+def test_canonical_of_many_values(spark):
+    rnd = random.Random(7)
+    numbers = [rnd.choice([1, -1]) * rnd.randrange(10 ** rnd.randrange(1, 18)) * 10.0 ** rnd.randrange(-25, 20) for _ in range(2000)]
+    numbers += [0.0, -0.0, 1e-3, 9.999e-4, 1e7, 9999999.5, 10000000.5, 1e15, 999999999999999.0, 2.0**53, 5e-324, 1.7976931348623157e308]
+    plain = lambda t: "0" if Decimal(t) == 0 else f"{Decimal(t):f}".rstrip("0").rstrip(".") if "." in f"{Decimal(t):f}" else f"{Decimal(t):f}"
+    got = spark.createDataFrame([(x,) for x in numbers], "v double").select(F.col("v").cast("string").alias("v"), canonical.canonical(F.col("v"), T.DoubleType()).alias("c")).collect()
+    for r in got:
+        assert r["c"] == f'["number","{plain(r["v"])}"]', r["v"]
+    texts = ["", "a b", 'a"b', "a\\b", "a\n", "\n", "é", "𝄞", "\x7f", "/", "<&'>"]
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").select("v", canonical.canonical(F.col("v"), T.StringType()).alias("c"), F.to_json(F.array(F.lit("text"), "v")).alias("w")).collect()
+    assert all(r["c"] == r["w"] for r in rows)
+    odd = spark.sql("SELECT CAST(9.9999990E9 AS FLOAT) AS f, CAST('NaN' AS DOUBLE) AS n, CAST('-Infinity' AS DOUBLE) AS i, CAST(1.20 AS DECIMAL(38,20)) AS d")
+    assert list(odd.select(*(canonical.canonical(F.col(f.name), f.dataType) for f in odd.schema)).first()) == ['["number","9999999000"]', '["number","NaN"]', '["number","-Infinity"]', '["number","1.2"]']
+
+
+def test_validation_joins_once_for_all_differences(spark, monkeypatch):
+    a = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 3).alias("v"))
+    b = a.where("k > 4").withColumn("v", F.when(F.col("k") % 10 == 7, 9).otherwise(F.col("v")))
+    held = []
+    monkeypatch.setattr(compare, "diff_columns", lambda d, f=compare.diff_columns: held.append(d.storageLevel.useMemory) or f(d))
+    got = validate.validate_table(validate.Pair("t", a, b, primary=("k",)), most=10, beyond="fingerprint")
+    assert (got["hash_mode"], got["difference_rows"], got["column_differences"], len(got["samples"]), got["passed"]) == ("fingerprint", 10, {"v": 5}, 10, False)
+    assert held == [True]
