@@ -83,6 +83,11 @@ def phrases(text: str, root: dict[str, dict]) -> int:
     return n
 
 
+def phrase_counts(texts: list[str], model: list[dict]) -> np.ndarray:
+    """Phrases of each text in each automaton, a row a text; one automaton after the other, as the cache holds one at best."""
+    return np.array([[phrases(t, root) for t in texts] for root in model], np.int64).reshape(len(model), len(texts)).T
+
+
 def sample_texts(labelled: DataFrame, docs_per_lang: int, chars_per_doc: int, chars_per_lang: int, max_langs: int) -> dict[str, str]:
     """The bounded training text of each language; labelled has (key, text, lang)."""
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
@@ -106,6 +111,7 @@ def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id",
     """(doc_id, lang_pred, score) and the carried columns of every row. score: by how much the second best costs more, 0 to 1."""
     c.carried(docs, carry, ("doc_id", "lang_pred", "score"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *carry)
+    texts = dict(sorted(texts.items()))
     names = list(texts)
     weight = np.array([math.log2(max(4, len(t))) for t in texts.values()])
 
@@ -121,7 +127,7 @@ def language_id(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id",
         lang, score = np.full(len(words), "und", object), np.zeros(len(words))
         full = np.array([bool(w) for w in words], bool)
         if full.any() and names:
-            total = np.array([[phrases(w, root) for root in model] for w in words], np.int64).reshape(len(words), len(names)) * weight
+            total = phrase_counts(words, model) * weight
             order = np.argsort(total, axis=1, kind="stable")
             best = total[np.arange(len(words)), order[:, 0]]
             second = total[np.arange(len(words)), order[:, 1]] if len(names) > 1 else np.full(len(words), np.inf)

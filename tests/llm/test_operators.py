@@ -291,6 +291,15 @@ def test_phrases_against_longest_substrings():
             assert language_id.phrases(text, root) == longest_matches(text, known), (text, known)
 
 
+def test_phrases_are_counted_language_by_language(monkeypatch):
+    model, taken, count = [language_id.suffix_automaton(t) for t in (" the cat ", " der hund ")], [], language_id.phrases
+    monkeypatch.setattr(language_id, "phrases", lambda text, root: taken.append(next(i for i, x in enumerate(model) if x is root)) or count(text, root))
+    texts = [" the hund ", "", " cat "]
+    assert language_id.phrase_counts(texts, model).tolist() == [[count(t, root) for root in model] for t in texts]
+    assert taken == [0, 0, 0, 1, 1, 1]
+    assert language_id.phrase_counts([], model).shape == (0, 2)
+
+
 def test_language_against_brute_force(spark):
     learn = {"aa": language_id.normalised("the cat sat on the mat, the end"), "bb": language_id.normalised("der Hund liegt auf dem Boden")}
     texts = ["The cat", "der Hund!", "½ ²", "①", "Ⅷ 12", "", None, "x" * 500, "catdog " * 2000, "कि", "the\u0301 cat"]
